@@ -92,7 +92,7 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of n words (over text boundaries too; callers mask those)."""
     if len(h) < n:
         return np.zeros(0, U)
-    out = np.full(len(h) - n + 1, U(n) * K3)
+    out = np.full(len(h) - n + 1, n, U) * K3
     for j in range(n):
         out = mix(out * K1 + h[j : len(h) - n + 1 + j])
     return out
