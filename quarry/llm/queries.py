@@ -7,7 +7,7 @@ import importlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, langid, mixing, pii, quality, tokens
+from . import ann, decontam, langid, lm, mixing, neardup, pii, quality, substring, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,14 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"), tokenizers.path("word_bpe_49k.json"), 2048)
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda c: c % 20 == 0, 20)
+
+
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), 4, 80)
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.fit(docs, table(spark, sf_dir, "labels"), lambda c: remainder(c, 5) != 0)
@@ -32,7 +40,13 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    found = decontam.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = remainder(F.col("doc_id"), 7)
+    return lm.score(table(spark, sf_dir, "documents"), part == 2, part == 3)
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +59,10 @@ def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents"), 13)
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs, lambda c: remainder(c, 4) != 2)
@@ -52,7 +70,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder(F.col("doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op4_quality_classifier, op5_benchmark_decontamination, op7_pii, op8_mix_sources, op10_language_id)}
+_ALL = (op1_token_counts, op2_nearest_neighbours, op3_near_duplicates, op4_quality_classifier, op5_benchmark_decontamination, op6_language_model, op7_pii, op8_mix_sources, op9_substring_dedup, op10_language_id)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_benchmark_decontamination": r"""
@@ -65,4 +84,14 @@ hit AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(ra
 found AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item, ',' ORDER BY item)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item FROM occurs) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words w LEFT JOIN hit USING (doc_id) LEFT JOIN found USING (doc_id)""",
+    "op9_substring_dedup": r"""
+WITH words AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS win FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)),
+firsts AS (SELECT win, min(doc_id) AS least FROM windows GROUP BY win HAVING count(DISTINCT doc_id) > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM windows JOIN firsts USING (win) WHERE least < doc_id),
+lists AS (SELECT doc_id, list(k) AS ks FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, w.w AS w, coalesce(ks, []) AS ks FROM words w LEFT JOIN lists USING (doc_id)),
+left_words AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM (SELECT doc_id, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS i FROM kept) u WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.doc_id = u.doc_id AND g.k = u.i) GROUP BY doc_id)
+SELECT k.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(ks) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM kept k LEFT JOIN left_words l ON l.doc_id = k.doc_id""",
 }
