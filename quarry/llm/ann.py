@@ -49,7 +49,7 @@ def _matrix(col: pa.Array) -> np.ndarray:
     return np.asarray(col.flatten()).reshape(len(col), -1) if len(col) else np.zeros((0, 1))
 
 
-def search(vectors: DataFrame, queries, k: int = 20, tables: int = 8, probes: int = 16, seed: int = 5) -> DataFrame:
+def search(vectors: DataFrame, queries, k: int = 20, tables: int = 12, probes: int = 24, seed: int = 5) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for each row for which ``queries`` (a column) is true.
 
     Nearness is the inner product in double precision; ties go to the smaller vec_id; a query isn't its
