@@ -17,6 +17,8 @@ from .components import components
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
+#: Rounds of comparisons with centres, each linear in the number of classes.
+ROUNDS = 2
 _SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=U) * K1)
 _BAND_SEEDS = mix(np.arange(1001, 1001 + BANDS, dtype=U) * K1)
 
@@ -129,8 +131,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     with a probability of 5e-8. Candidates whose estimate isn't far below the threshold are verified on
     their full sets.
 
-    A band's bucket isn't expanded into pairs: first each member is compared with its bucket's least and
-    greatest member; then only pairs of one bucket that are still in different components.
+    A band's bucket isn't expanded into pairs: in rounds, each class is compared with two of its buckets'
+    centres, the members that meet most others; then only pairs of one bucket that are still in different
+    components are.
 
     A null, empty or blank text has no shingles and is linked with nothing. Rows that share a doc_id count
     as linked. A null doc_id represents no class: such a row gets the component of its equal texts, or null
@@ -143,20 +146,32 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
         sketch.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")).where("rep is not null")
     )
     keys = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = materialize(keys.groupBy("key").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low <> high"))
-    members = materialize(keys.join(buckets, "key"))
-    star = members.groupBy("rep").agg(F.min("low").alias("low"), F.max("high").alias("high"))
-    star = star.select(F.explode(F.array(F.struct(F.col("low").alias("a"), F.col("rep").alias("b")), F.struct(F.col("rep").alias("a"), F.col("high").alias("b")))).alias("p")).select("p.a", "p.b").where("a < b").distinct()
-    links = materialize(_linked(star, classes, docs, words, percent))
-    first = components(links)
+    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    shared = materialize(keys.join(buckets, "key"))
+    # How many others a class meets: an original meets more of its altered copies than these do each other.
+    reach = shared.groupBy("rep").agg(F.sum("size").alias("reach"))
+    members = materialize(shared.select("rep", "key").join(reach, "rep"))
+    state, links, tried = members.withColumn("c", F.col("rep")), None, None
+    for _ in range(ROUNDS):
+        centre = state.groupBy("key").agg(F.max(F.struct("reach", (-F.col("rep")).alias("o"), "c")).alias("m"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
+        near = state.join(centre, "key").where("c <> m.c").select("rep", F.col("m.reach").alias("r"), (-F.col("m.o")).alias("o")).distinct()
+        ordered = near.select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b"), "rep", "r")
+        if tried is not None:
+            ordered = ordered.join(tried, ["a", "b"], "left_anti")
+        star = ordered.groupBy("rep").agg(F.max(F.struct("r", "a", "b")).alias("p"), F.min(F.struct("r", "a", "b")).alias("q"))
+        star = materialize(star.select(F.explode(F.array("p", "q")).alias("p")).select("p.a", "p.b").distinct())
+        found = _linked(star, classes, docs, words, percent)
+        links = materialize(found if links is None else links.unionByName(found))
+        tried = star if tried is None else tried.unionByName(star)
+        labels = components(links)
+        state = members.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "key", "reach", F.coalesce("label", "rep").alias("c"))
+        state = materialize(state)
     # What the stars have left: pairs of one bucket across components.
-    state = members.select("rep", "key").join(first, F.col("rep") == F.col("node"), "left").select("rep", "key", F.coalesce("label", "rep").alias("c"))
-    state = materialize(state)
     open_ = state.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
     left = materialize(state.join(open_, "key", "left_semi"))
     one, two = (left.select("key", F.col("rep").alias(s), F.col("c").alias(f"c{s}")) for s in "ab")
     cross = one.join(two, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    cross = cross.join(star, ["a", "b"], "left_anti")
+    cross = cross.join(tried, ["a", "b"], "left_anti")
     links = links.unionByName(_linked(materialize(cross), classes, docs, words, percent))
     labels = components(materialize(links))
     chosen = ids.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("label", "rep").alias("component"))
