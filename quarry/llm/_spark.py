@@ -6,14 +6,30 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once per application: their Python may not find it by itself."""
+    app = spark.sparkContext.applicationId
+    if app not in _shipped:
+        _shipped.add(app)
+        root = Path(__file__).resolve().parents[1]
+        out = tempfile.mkdtemp(prefix="quarry-")  # the driver's own; Spark serves the file to executors
+        atexit.register(shutil.rmtree, out, True)
+        spark.sparkContext.addPyFile(shutil.make_archive(f"{out}/{root.name}", "zip", root.parent, root.name))
+
+
 def bounded_batches(spark: SparkSession) -> None:
     """Keep Arrow batches small when the session still has Spark's default, as texts can be long."""
+    ship(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) == 10_000:
         spark.conf.set(key, "1000")
