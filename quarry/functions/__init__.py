@@ -60,6 +60,29 @@ def date_diff(part: str, start: Column, end: Column) -> Column:
     return seconds * 1000 + milli(end) - milli(start)
 
 
+def _adds(part: str):
+    def add(ts: Column, n: int) -> Column:
+        return date_add(part, n, ts)
+
+    return add
+
+
+def _diffs(part: str):
+    def diff(start: Column, end: Column) -> Column:
+        return date_diff(part, start, end)
+
+    return diff
+
+
+add_years, add_months, add_days, add_hours, add_minutes, add_seconds = map(_adds, ("year", "month", "day", "hour", "minute", "second"))
+diff_years, diff_months, diff_days, diff_hours, diff_minutes, diff_seconds = map(_diffs, ("year", "month", "day", "hour", "minute", "second"))
+
+
+def typed(value, kind: str) -> Column:
+    """A literal of a given type."""
+    return F.lit(value).cast(kind)
+
+
 def text_len(v: Column, trailing: bool = True) -> Column:
     """Characters; with ``trailing`` false, blanks at the end don't count."""
     return F.char_length(v if trailing else F.rtrim(v))

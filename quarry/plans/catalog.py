@@ -641,6 +641,72 @@ def merge_output(t):
     return _merge(t).output.select(c("_action").alias("action"), c("deleted.id").alias("old_id"), c("inserted.id").alias("new_id"))
 
 
+# Scripts and changes from objects
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 2")
+def temp_table_from_query(t):
+    from quarry.operators import script
+
+    kept, _ = script.temp_table(t.nation.where("n_regionkey = 2"), "#quarry_asia", ["n_nationkey"])
+    return t.spark.table("quarry_asia").select("n_nationkey", "n_name")
+
+
+@query("SELECT n_name, word FROM nation JOIN (VALUES (0, 'zero'), (3, 'three')) AS v(k, word) ON k = n_regionkey")
+def temp_table_from_values(t):
+    from quarry.operators import script
+
+    words, _ = script.temp_values(t.spark, [(0, "zero"), (3, "three")], "k int, word string", "#quarry_words", ["k"])
+    return t.nation.join(words, c("k") == c("n_regionkey")).select("n_name", "word")
+
+
+@query("SELECT r_name AS found FROM region WHERE r_regionkey = 1")
+def if_exists(t):
+    from quarry.operators import script
+
+    pick = lambda k: lambda: t.region.where(c("r_regionkey") == k).select(c("r_name").alias("found"))
+    return script.when(t.nation.where("n_nationkey = 0"), lambda: script.when(t.nation.where("n_nationkey = -1"), pick(0), pick(1)), pick(2))
+
+
+@query("SELECT r_regionkey, r_name FROM region UNION ALL SELECT * FROM (VALUES (50, 'LEMURIA'), (51, 'HYPERBOREA')) AS v(a, b)")
+def insert_objects(t):
+    from quarry.operators import script
+
+    return script.insert_objects(t.region, [{"r_regionkey": 50}, {"r_regionkey": 51}], r_name=lambda x: "LEMURIA" if x["r_regionkey"] == 50 else "HYPERBOREA").table
+
+
+@query("SELECT r_regionkey, CASE r_regionkey WHEN 1 THEN 'one' WHEN 2 THEN 'two' ELSE r_name END AS r_name FROM region")
+def update_objects(t):
+    from quarry.operators import script
+
+    return script.update_objects(t.region, [{"r_regionkey": 1, "r_name": "one"}, {"r_regionkey": 2, "r_name": "two"}], ["r_regionkey"]).table
+
+
+@query("SELECT r_regionkey, CASE r_regionkey WHEN 1 THEN 'one' ELSE r_name END AS r_name FROM region WHERE r_regionkey IN (1, 0) UNION ALL SELECT 9, 'new'")
+def merge_objects(t):
+    from quarry.operators import script
+
+    return script.merge_objects(t.region, [{"r_regionkey": 1, "r_name": "one"}, {"r_regionkey": 9, "r_name": "new"}], ["r_regionkey"], delete_others=c("target.r_regionkey") > 0).table
+
+
+@query("SELECT n_nationkey, i AS v FROM nation, generate_series(1, n_regionkey) AS g(i)")
+def table_function(t):
+    t.nation.createOrReplaceTempView("quarry_nation_tf")
+    return t.spark.sql("SELECT n_nationkey, v FROM quarry_nation_tf CROSS JOIN LATERAL explode(CASE WHEN n_regionkey > 0 THEN sequence(1, n_regionkey) ELSE array() END) AS g(v)").select("n_nationkey", c("v").cast("long").alias("v"))
+
+
+@query("SELECT column_name AS name, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'DOUBLE' THEN 'double' WHEN 'INTEGER' THEN 'int' ELSE 'string' END AS kind FROM information_schema.columns WHERE table_name = 'customer'")
+def result_shape(t):
+    from quarry.sources.readers import shape
+
+    return t.spark.createDataFrame([(n, k) for n, k, _ in shape(t.customer)], "name string, kind string")
+
+
+@query("SELECT event_id, ts + INTERVAL 2 YEAR AS y, ts + INTERVAL 3 HOUR AS h, date_diff('day', TIMESTAMP '2023-11-06', ts) AS d, CAST(1.5 AS DECIMAL(10,2)) AS x FROM events")
+def date_sugar(t):
+    return t.events.select("event_id", Q.add_years(c("ts"), 2).alias("y"), Q.add_hours(c("ts"), 3).alias("h"), Q.diff_days(lit("2023-11-06").cast("timestamp_ntz"), c("ts")).alias("d"), Q.typed("1.5", "decimal(10,2)").alias("x"))
+
+
 # The T-SQL front-end: the same relations, written as text
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -12,3 +16,13 @@ def session(name: str = "quarry", **conf: str) -> SparkSession:
     for key, value in conf.items():
         builder = builder.config("spark." + key.replace("_", "."), value)
     return builder.getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        base = tempfile.mkdtemp(prefix="quarry-")
+        atexit.register(shutil.rmtree, base, True)
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")

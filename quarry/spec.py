@@ -423,6 +423,21 @@ def from_xml(text: str) -> Node:
     return from_plain([(int(n.get("id")), number(n.get("parent")), n.get("place"), number(n.get("index")), n.get("kind"), n.get("value")) for n in ET.fromstring(text)])
 
 
+def flatten(source: Node) -> tuple[list[Node], Node | None]:
+    """The sources of a tree of inner and cross joins, and all their conditions as one; other joins are an error."""
+    if not isinstance(source, Join):
+        return [source], None
+    if source.kind not in ("INNER", "CROSS"):
+        raise ValueError(f"a {source.kind} join can't be flattened")
+    left, p = flatten(source.left)
+    right, q = flatten(source.right)
+    parts = [x for x in (p, q, source.on) if x is not None]
+    test = parts[0] if parts else None
+    for x in parts[1:]:
+        test = Binary("AND", test, x)
+    return [*left, *right], test
+
+
 def tables(node: Node) -> dict[str, set[str]]:
     """Physical tables that a tree names, each with the columns that are surely its own."""
     ctes = {x.name.lower() for x in node.walk() if isinstance(x, Cte)}

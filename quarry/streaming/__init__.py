@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.session import shared_folder
+
 
 def windowed_totals(stream: DataFrame, time: str, keys: list[str], value: str, size: str, late: str) -> DataFrame:
     """Count and sum of ``value`` for each tumbling window and key; state is dropped once the watermark passes."""
@@ -17,11 +18,11 @@ def windowed_totals(stream: DataFrame, time: str, keys: list[str], value: str, s
 
 def run_to_end(result: DataFrame, mode: str = "complete") -> DataFrame:
     """Everything that is there now goes through the stream; the result is a table in memory (for tests and small results)."""
+    spark = result.sparkSession
     name = f"quarry_{uuid.uuid4().hex}"
-    with tempfile.TemporaryDirectory() as folder:
-        q = result.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", folder).trigger(availableNow=True).start()
-        q.awaitTermination()
-    return result.sparkSession.table(name)
+    q = result.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", f"{shared_folder(spark)}/{name}").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)
 
 
 def hourly_totals(spark: SparkSession, folder: str) -> DataFrame:

@@ -14,6 +14,7 @@ from quarry import spec as S
 from quarry.emit import Emitter
 from quarry.operators import dml
 from quarry.operators.tables import TableDef
+from quarry.sources.readers import shape
 from quarry.tsql.parser import TsqlError, parse
 
 __all__ = ["Session", "TsqlError", "parse"]
@@ -70,6 +71,11 @@ class Session:
         self.check(tree)
         return self.spark.sql(self._emitter(tree).sql(tree), args)
 
+    def shape(self, text: str) -> list[tuple[str, str, bool]]:
+        """Names, types and nullability of a query's result; parameters are taken as null, and nothing runs."""
+        tree = parse(text)
+        return shape(self.run(tree, {x.name: None for x in tree.walk() if isinstance(x, S.Param)}))
+
     def _bare(self, x: S.Node | None, tree: S.Node, sides: dict[str, str]) -> Column | None:
         """An expression as a Column over target and source structs."""
         if x is None:
