@@ -33,6 +33,7 @@ def axes(x: np.ndarray, signs: np.ndarray, probes: int) -> np.ndarray:
     both = np.stack([y, -y], 2).reshape(len(y), -1)
     if probes == 1:
         return both.argmax(1)[:, None]
+    probes = min(probes, both.shape[1])
     near = np.argpartition(-both, probes - 1, 1)[:, :probes]
     return np.take_along_axis(near, np.argsort(-np.take_along_axis(both, near, 1), 1), 1)
 

@@ -257,7 +257,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
     """The rows of ``docs``, all columns, that share no window with the benchmark."""
-    inner = docs.withColumnsRenamed({c: f"own_{i}" for i, c in enumerate(docs.columns)})
+    inner = docs.toDF(*[f"own_{i}" for i in range(len(docs.columns))])
     text = f"own_{docs.columns.index('text')}"
     found = find(inner.withColumn("text", F.col(text)), benchmark, window, texts=True)
     return found.where(~F.col("contaminated")).select(*[F.col(f"own_{i}").alias(c) for i, c in enumerate(docs.columns)])

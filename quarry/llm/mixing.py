@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 OUTPUT = ("mix_slot", "mix_position", "mix_deadline", "in_target")
+#: Of the generator that scrambles ids.
+MODULUS, MULTIPLIER, ADDEND = 1 << 31, 1_103_515_245, 12_345
+#: More sources than this are an error: the driver holds their counts and the schedule of a period.
+MOST_SOURCES = 10_000
 
 
 def whole_shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -52,17 +56,25 @@ def _named(source):
     return F.coalesce(source.cast("string"), F.lit("\0none"))
 
 
-def _range(column: str):
-    """One of 1024 ranges of the hashed id: each is ranked on its own, so no source meets in one task."""
-    return F.shiftrightunsigned(F.xxhash64(column), 54).cast("int")
+def _scrambled(column: str):
+    """An id's place in the order of reading: 31 bits, made by arithmetic that any SQL engine has."""
+    x = F.pmod(F.coalesce(F.col(column).cast("long"), F.lit(0)), F.lit(MODULUS))
+    x = (x * MULTIPLIER + ADDEND) % MODULUS
+    x = x.bitwiseXOR(F.shiftright(x, 16))
+    return (x * MULTIPLIER + ADDEND) % MODULUS
+
+
+def _range(key):
+    """One of 4096 ranges of places: each is ranked on its own, so no source meets in one task."""
+    return F.shiftright(key, 19).cast("int")
 
 
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, period: int = 1000, block: int = 8) -> DataFrame:
     """Every row of ``docs`` (doc_id, source, ...) with its place in the mixture.
 
-    A block is ``block`` rows of a source, in the order of a hash of doc_id. ``weights`` maps sources to
-    target weights, which are rounded to ``period`` slots; sources that it lacks, or all if it is None,
-    weigh (their rows) ** ``power``. Columns added: mix_slot, the block's slot; mix_position, unique and
+    A block is ``block`` rows of a source, in a scrambled order of doc_id. ``weights`` maps sources to
+    target weights, which are rounded to ``period`` slots (or twice the number of sources, if that is more);
+    sources that it lacks, or all if it is None, weigh (their rows) ** ``power``. Columns added: mix_slot, the block's slot; mix_position, unique and
     ascending through the mixture; mix_deadline, by which the slot had to come; in_target, whether all
     sources last up to this slot, so that the weights hold. Rows after that point are kept too.
 
@@ -73,7 +85,11 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
     spark = docs.sparkSession
     docs = docs.drop(*OUTPUT)
     names = docs.columns
-    rows = {r["s"]: r["n"] for r in docs.groupBy(_named(F.col("source")).alias("s")).agg(F.count(F.lit(1)).alias("n")).limit(period + 1).collect()}
+    counts = docs.groupBy(_named(F.col("source")).alias("s")).agg(F.count(F.lit(1)).alias("n"))
+    rows = {r["s"]: r["n"] for r in counts.limit(MOST_SOURCES + 1).collect()}
+    if len(rows) > MOST_SOURCES:
+        raise ValueError(f"there are more than {MOST_SOURCES} sources")
+    period = max(period, 2 * len(rows))
     given = {k if k is not None else "\0none": v for k, v in (weights or {}).items()}
     shares = whole_shares({s: given.get(s, float(n) ** power) for s, n in rows.items()}, period)
     plan = schedule(shares)
@@ -88,16 +104,17 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         _named(F.col("source")).alias("s"),
-        F.xxhash64("doc_id").alias("key"),
-        _range("doc_id").alias("range"),
+        _scrambled("doc_id").alias("key"),
+        _range(_scrambled("doc_id")).alias("range"),
+        F.col("doc_id").alias("tie"),
     )
     before = (
-        docs.select(_named(F.col("source")).alias("b_s"), _range("doc_id").alias("b_range"))
+        docs.select(_named(F.col("source")).alias("b_s"), _range(_scrambled("doc_id")).alias("b_range"))
         .groupBy("b_s", "b_range")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("b_s", "b_range", (F.sum("n").over(Window.partitionBy("b_s").orderBy("b_range")) - F.col("n")).alias("before"))
     )
-    ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("s", "range").orderBy("key")))
+    ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("s", "range").orderBy("key", "tie")))
     ranked = ranked.join(before, (F.col("s") == F.col("b_s")) & (F.col("range") == F.col("b_range")))
     rank = F.col("before") + F.col("r") - 1
     ranked = ranked.select("row", "s", rank.alias("rank")).join(F.broadcast(sizes), F.col("s") == F.col("r_s"))

@@ -74,6 +74,32 @@ _ALL = (op1_token_counts, op2_nearest_neighbours, op3_near_duplicates, op4_quali
 QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_near_duplicates": r"""
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + least(4, len(w)) - 1], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(4, len(w)) + 2)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM common JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * c >= 80 * (p.n + q.n - c)),
+edges AS (SELECT x AS a, y AS b FROM links UNION ALL SELECT y, x FROM links),
+reach(node, label) AS (SELECT doc_id, doc_id FROM words UNION SELECT b, label FROM reach JOIN edges ON a = node WHERE label < b)
+SELECT w.doc_id, coalesce(z.n, 0) AS n_shingles, r.label AS component_id, w.doc_id = r.label AS kept
+FROM words w LEFT JOIN sizes z ON z.doc_id = w.doc_id JOIN (SELECT node, min(label) AS label FROM reach GROUP BY node) r ON r.node = w.doc_id""",
+    "op8_mix_sources": r"""
+WITH RECURSIVE counts AS (SELECT coalesce(source, chr(0) || 'none') AS s, count(*) AS n FROM documents GROUP BY ALL),
+exact AS (SELECT s, n, sqrt(n) / (SELECT sum(sqrt(n)) FROM counts) * (1000 - (SELECT count(*) FROM counts)) AS e FROM counts),
+shares AS (SELECT s, n, 1 + CAST(floor(e) AS BIGINT) + CASE WHEN row_number() OVER (ORDER BY floor(e) - e, s) <= 1000 - (SELECT CAST(sum(1 + floor(e)) AS BIGINT) FROM exact) THEN 1 ELSE 0 END AS k FROM exact),
+lists AS (SELECT list(s ORDER BY s) AS ss, list(k ORDER BY s) AS ks FROM shares),
+plan(slot, pick, done) AS (
+    SELECT CAST(-1 AS BIGINT), CAST(0 AS BIGINT), list_transform(ks, lambda x: CAST(0 AS BIGINT)) FROM lists
+    UNION ALL
+    SELECT slot + 1, p, list_transform(range(1, len(done) + 1), lambda i: done[i] + CASE WHEN i = p THEN 1 ELSE 0 END)
+    FROM (SELECT slot, done, list_sort(list_transform(list_filter(range(1, len(ks) + 1), lambda i: done[i] < ks[i] AND done[i] * 1000 // ks[i] <= slot + 1), lambda i: {'due': ((done[i] + 1) * 1000 + ks[i] - 1) // ks[i], 'i': i}))[1].i AS p FROM plan, lists WHERE slot < 999)),
+slots AS (SELECT ss[pick] AS s, done[pick] AS j, slot, (done[pick] * 1000 + ks[pick] - 1) // ks[pick] AS due FROM plan, lists WHERE slot >= 0),
+horizon AS (SELECT min(n // 8 // k * 1000 + slot) AS h FROM shares JOIN slots ON slots.s = shares.s AND slots.j = n // 8 % k + 1),
+mixed AS (SELECT doc_id, source, (x * 1103515245 + 12345) % 2147483648 AS key FROM (SELECT doc_id, source, xor(x, x >> 16) AS x FROM (SELECT doc_id, source, (((doc_id % 2147483648) + 2147483648) % 2147483648 * 1103515245 + 12345) % 2147483648 AS x FROM documents))),
+ranked AS (SELECT doc_id, source, coalesce(source, chr(0) || 'none') AS s, row_number() OVER (PARTITION BY source ORDER BY key, doc_id) - 1 AS r FROM mixed),
+placed AS (SELECT doc_id, source, r, r // 8 // k * 1000 AS start, slot, due FROM ranked JOIN shares USING (s) JOIN slots ON slots.s = ranked.s AND slots.j = r // 8 % k + 1)
+SELECT doc_id, source, start + slot AS mix_slot, (start + slot) * 8 + r % 8 AS mix_position, start + due AS mix_deadline, start + slot < h AS in_target FROM placed, horizon""",
     "op5_benchmark_decontamination": r"""
 WITH words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 items AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),

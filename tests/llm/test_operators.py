@@ -1,0 +1,449 @@
+"""Each operator against its plain definition, and its defined results for odd input."""
+
+from __future__ import annotations
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import plain
+import pytest
+from pyspark.sql import functions as F
+
+from quarry.llm import ann, decontam, langid, lm, mixing, neardup, pii, quality, substring, tokens
+
+WORDS = [f"w{i}" for i in range(60)] + ["Der", "die", "Über", "naïve", "日本", "x.y", "a-b", "IT'S"]
+EXTRA = "doc_id long, text string, lang string, source string, n_chars long, key int, fp string, n string, state int, row int, rep int, own_0 string, own_1 string, t string, kept boolean, mix_slot int"
+
+
+def framed(spark, docs):
+    """Documents as a table with further columns, some named as operators' own."""
+    rows = [(d, t, ["de", "en", None][i % 3], f"s{i % 3}", len(t or ""), i, "f", "n", i, i, i, "o", "p", "t", False, 7) for i, (d, t) in enumerate(docs)]
+    return spark.createDataFrame(rows, EXTRA).repartition(3)
+
+
+def rows(df, *columns):
+    return sorted((tuple(r) for r in df.select(*columns).collect()), key=repr)
+
+
+def odd_docs(rng=None):
+    """Null, empty, blank and very long texts, copies, near copies, shared passages and chains of edits."""
+    rng = rng or random.Random(3)
+    text = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    docs = [(1, None), (2, ""), (3, " \t\n "), (4, "one"), (5, "One"), (6, "two words"), (7, text(20_000)), (8, "a\x0bb\x1cc\x85d e")]
+    base = text(120)
+    docs += [(10 + i, base) for i in range(15)]
+    for i in range(20):  # edits of one original, most not alike among themselves
+        w = base.split()
+        for _ in range(4):
+            w[rng.randrange(len(w))] = f"edit{i}{rng.random()}"
+        docs.append((100 - i, " ".join(w)))
+    w = text(200).split()
+    for i in range(12):  # a chain: each differs a little from the one before
+        for _ in range(5):
+            w[rng.randrange(len(w))] = f"chain{rng.random()}"
+        docs.append((200 + 5 * i % 12, " ".join(w)))
+    shared = text(40)
+    docs += [(300 + i, f"{text(rng.randrange(30))} {shared} {text(rng.randrange(30))}") for i in range(9)]
+    docs += [(400 + i, text(rng.randrange(1, 90))) for i in range(40)]
+    rng.shuffle(docs)
+    return docs
+
+
+@pytest.fixture(scope="module")
+def docs():
+    out = odd_docs()
+    assert len({d for d, _ in out}) == len(out)
+    return out
+
+
+EMPTY: list = []
+
+
+# 1: token counts
+
+
+def test_token_counts_are_the_librarys(spark, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    tok.no_padding()
+    tok.no_truncation()
+    more = [(900, "<|endoftext|> x<|startoftext|>y  it's <|endoftext|>"), (901, "é ́e ﬁ　Å b 'S 12345"), (902, "x" * 30_000), (903, "it 's they 're"), (None, "no id"), (4, "one")]
+    every = docs + more
+    found = rows(tokens.count_tokens(framed(spark, every), path), "doc_id", "n_bytes", "n_tokens", "over_limit")
+    want = []
+    for d, t in every:
+        n = len(tok.encode(t or "", add_special_tokens=False).ids)
+        want.append((d, len((t or "").encode()), n, n > 2048))
+    assert found == sorted(want, key=repr)
+    assert rows(tokens.count_tokens(framed(spark, EMPTY), path), "*") == []
+
+
+# 2: nearest neighbours
+
+
+def test_nearest_neighbours(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 24))
+    x = (centres[rng.integers(0, 12, 1500)] + 0.4 * rng.normal(size=(1500, 24))).astype(np.float32)
+    vectors = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors[40] = (40, vectors[41][1])  # equal ones
+    vectors += [(3000 + i, vectors[60][1]) for i in range(40)]
+    odd = [(5000, None), (5020, []), (5040, [0.0] * 24), (5060, [float("nan")] + [1.0] * 23), (5080, [None] + [1.0] * 23), (5100, [float("inf")] + [1.0] * 23), (None, vectors[3][1]), (5120, [1.0, 2.0])]
+    frame = spark.createDataFrame([(i, v, 1, "x", 2) for i, v in vectors + odd], "vec_id long, embedding array<float>, label int, vec string, id int").repartition(4)
+    got: dict = {}
+    for q, rank, i, score in rows(ann.search(frame, lambda c: c % 20 == 0, 20), "query_id", "rank", "vec_id", "score"):
+        got.setdefault(q, {})[rank] = (i, score)
+    want = plain.nearest(vectors, lambda i: i % 20 == 0, 20)
+    assert set(got) == set(want)
+    hits = 0
+    for q, best in want.items():
+        assert sorted(got[q]) == list(range(1, 21))
+        order = [(-got[q][r][1], got[q][r][0]) for r in range(1, 21)]
+        assert order == sorted(order)
+        hits += len({i for i, _ in best} & {i for i, _ in got[q].values()})
+        exact = dict(plain.nearest(vectors, lambda i, q=q: i == q, 10**6)[q]) if q < 100 else {}
+        assert all(math.isclose(s, exact[i], abs_tol=1e-9) for i, s in got[q].values() if i in exact)
+    assert hits / (20 * len(want)) >= 0.95
+    none = spark.createDataFrame([], "vec_id long, embedding array<float>")
+    assert ann.search(none, lambda c: c % 20 == 0, 20).count() == 0
+    few = spark.createDataFrame([(20, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<float>")
+    assert rows(ann.search(few, lambda c: c % 20 == 0, 20), "query_id", "rank", "vec_id", "score") == [(20, 1, 2, 1.0), (20, 2, 1, 0.0)]
+
+
+# 3: near duplicates
+
+
+@pytest.mark.parametrize(("words", "percent"), [(4, 80), (5, 80)])
+def test_near_duplicates(spark, docs, words, percent):
+    found = neardup.near_duplicates(framed(spark, docs), words, percent)
+    assert rows(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(plain.near_duplicates(docs, words, percent), key=repr)
+
+
+def test_near_duplicates_in_random_groups(spark):
+    """Groups whose members are alike to very different degrees, around the threshold."""
+    rng = random.Random(11)
+    docs, d = [], 0
+    for _ in range(12):
+        base = [f"v{rng.randrange(4000)}" for _ in range(rng.choice([30, 80, 150]))]
+        for _ in range(rng.randrange(1, 14)):
+            w = list(base)
+            for _ in range(rng.randrange(0, max(2, len(w) // 18))):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(4000)}"
+            docs.append((d, " ".join(w)))
+            d += 1
+    rng.shuffle(docs)
+    found = neardup.near_duplicates(framed(spark, docs), 4, 80)
+    assert rows(found, "doc_id", "n_shingles", "component_id", "kept") == sorted(plain.near_duplicates(docs, 4, 80), key=repr)
+
+
+def test_near_duplicates_odd_ids(spark):
+    long = " ".join(f"k{i}" for i in range(30))
+    docs = [(7, long), (7, "quite another text here"), (9, "quite another text here"), (None, long), (None, "alone in this"), (3, None)]
+    found = neardup.near_duplicates(framed(spark, docs), 4, 80)
+    assert rows(found, "doc_id", "n_shingles", "component_id", "kept") == sorted([(7, 27, 7, True), (7, 1, 7, True), (9, 1, 7, False), (None, 27, 7, False), (None, 1, None, True), (3, 0, 3, True)], key=repr)
+    assert neardup.near_duplicates(framed(spark, EMPTY), 4, 80).count() == 0
+    kept = neardup.keep_one(framed(spark, docs), 5, 80)
+    assert kept.columns == framed(spark, docs).columns
+    assert sorted((repr(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted((repr(d), t) for d, t in docs if d != 9)
+
+
+def test_registers_estimate_similarity():
+    rng = np.random.default_rng(2)
+    for common, own in ((40, 10), (300, 100), (3000, 300), (5, 2)):
+        errors = []
+        for _ in range(30):
+            x = rng.integers(0, 2**63, common + 2 * own, dtype=np.uint64)
+            a, b = np.sort(x[: common + own]), np.sort(x[own:])
+            s = neardup.estimate(neardup.registers(a)[None], neardup.registers(b)[None], np.array([len(a)]), np.array([len(b)]))[0]
+            errors.append(s - common / (common + 2 * own))
+        assert abs(np.mean(errors)) < 0.05
+
+
+# 5: benchmark decontamination
+
+
+@pytest.mark.parametrize("most_words", [1_000_000, 40])
+def test_decontamination(spark, docs, most_words):
+    rng = random.Random(5)
+    texts = [t for _, t in docs if t and 30 < len(t) < 2000]
+    items = [(i, " ".join(rng.choice(texts).split()[5:25])) for i in range(12)]
+    items += [(50, None), (51, ""), (52, "?!"), (53, "ONE"), (54, "two words"), (55, "a b"), (56, "unseen words only here"), (57, items[0][1]), (58, "w1 w1 w1 w1 w1 w1 w1 w1 w1 w1 w1")]
+    every = [*docs, (700, "w1 " * 50), (None, "ONE more"), (4, "one"), (701, "two, WORDS; two words")]
+    bench = spark.createDataFrame([(i, t, 1) for i, t in items], "item_id long, text string, doc_id int")
+    found = decontam.find(framed(spark, every), bench, 10, most_words)
+    assert rows(found, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == sorted(plain.decontamination(every, items, 10), key=repr)
+    clean = decontam.remove_contaminated(framed(spark, every), bench, 10)
+    assert clean.columns == framed(spark, every).columns
+    assert rows(clean, "doc_id", "text") == sorted([x for x, y in zip(every, plain.decontamination(every, items, 10), strict=True) if not y[-1]], key=repr)
+
+
+def test_decontamination_odd_tables(spark):
+    none = spark.createDataFrame([], "item_id long, text string")
+    empty = plain.sha("")
+    assert rows(decontam.find(framed(spark, [(1, "a b"), (2, None)]), none, 10), "*") == [(1, 2, 0, 0, 0, empty, False), (2, 0, 0, 0, 0, empty, False)]
+    assert decontam.find(framed(spark, EMPTY), none, 10).count() == 0
+    item = spark.createDataFrame([(1, " ".join(f"z{i}" for i in range(30)))], "item_id long, text string")
+    long = framed(spark, [(1, "x " + " ".join(f"z{i}" for i in range(4, 27)) + " y")])
+    assert decontam.find(long, item, 10).select("longest_match", "n_hit").first() == (23, 23)
+
+
+# 6: language model
+
+
+def test_language_model(spark, docs):
+    every = [d for d in docs if d[0] != 7] + [(600 + i, " ".join(["the same few words", "again and again"][i % 2].split() * 5)) for i in range(60)] + [(None, "w1 w2")]
+    held, dev = (F.coalesce(F.col("doc_id") % 7 == k, F.lit(False)) for k in (2, 3))
+    got = {r["doc_id"]: r for r in lm.score(framed(spark, every), held, dev).collect()}
+    want = plain.base_score(every, lambda d: d is not None and d % 7 == 2)
+    assert len(got) == len(every)
+    for d, (n, known, total, base) in want.items():
+        r = got[d]
+        assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (n, known, total)
+        assert math.isclose(r["base_score"], base, rel_tol=1e-9)
+        assert r["score"] <= 0 and r["held_out"] == (d is not None and d % 7 == 2)
+    ours, theirs = (sum(got[d][c] for d in want if d and d % 7 == 2) for c in ("score", "base_score"))
+    assert ours > theirs  # word pairs help on texts not learnt from
+    assert lm.score(framed(spark, EMPTY), held, dev).count() == 0
+    only = lm.score(framed(spark, [(2, "a b"), (9, None)]), held, dev).collect()
+    assert {(r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in only} == {(2, 3, 0, 0, 0.0), (9, 1, 0, 0, 0.0)}
+
+
+def test_language_model_against_plain_counts(spark):
+    """Bigram, unigram and uniform parts by hand; the weights are those the operator learns on the same cells."""
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice("abcd") + rng.choice("xy") for _ in range(rng.randrange(1, 30)))) for i in range(80)]
+    held, dev = F.col("doc_id") % 7 == 2, F.col("doc_id") % 7 == 3
+    got = {r["doc_id"]: r["score"] for r in lm.score(framed(spark, docs), held, dev).collect()}
+    toks = {d: [*t.split(), None] for d, t in docs}
+
+    def counted(keep):
+        one, two, starts = Counter(), Counter(), 0
+        for d, w in toks.items():
+            if keep(d):
+                starts += 1
+                one.update(w)
+                two.update(zip([0, *w], w, strict=False))
+        return one, two, starts
+
+    less = counted(lambda d: d % 7 not in (2, 3))
+    every = counted(lambda d: d % 7 != 2)
+    kinds = len(every[0])
+
+    def parts(c, d):
+        one, two, starts = c
+        w = toks[d]
+        for v, x in zip([0, *w], w, strict=False):
+            before = starts if v == 0 else one[v]
+            yield before, two[v, x] / max(before, 1), one[x] / max(1, sum(one.values()))
+
+    cells = Counter()
+    for d in toks:
+        if d % 7 == 3:
+            for before, p2, p1 in parts(less, d):
+                log = lambda p: max(lm.LOWEST + 1, round(lm.STEPS * math.log2(p))) if p > 0 else lm.LOWEST
+                cells[int(lm._bucket(np.array([float(before)]))[0]), log(p2), log(p1)] += 1
+    mixture = lm.expectation_maximisation(np.array([(*k, n) for k, n in cells.items()], float), 1 / (kinds + 1))
+    for d in toks:
+        want = 0.0
+        for before, p2, p1 in parts(every, d):
+            w = mixture[int(lm._bucket(np.array([float(before)]))[0])]
+            want += math.log10(w[0] * p2 + w[1] * p1 + w[2] / (kinds + 1))
+        assert math.isclose(got[d], want, rel_tol=1e-9, abs_tol=1e-9)
+    assert np.allclose(mixture.sum(1), 1)
+
+
+# 7: personal data
+
+
+PERSONAL = [
+    "mail joe.doe+x@mail.example.org, or a@b, c@d.e@f.g", "at 10.0.0.1 and 999.1.1.1 and 1.2.3.4.5.6.7.8", "card 4111 1111 1111 1111 or 4111-1111-1111-1112", "call +44 (20) 7946-0958, +1 2, or (415) 555-2671",
+    "4111111111111111 4111111111111111", "+12345678901234567890", "@", "x@y.z" * 50, "1" * 5000, "1." * 3000, "é+33 1 23 45 67 89é 日本@例え.jp", "api_key = '9f86d081884c7d659a2feaa0c55ad015'", "a@b.c d@e.f  +4 5555 5555 5 00.01.002.255",
+]
+
+
+def test_personal_data_base_spans(spark, docs):
+    rng = random.Random(4)
+    every = [(d, t) for d, t in docs if d != 7] + [(800 + i, t) for i, t in enumerate(PERSONAL)]
+    alphabet = "0123456789" * 2 + " .-+@()ab\n"
+    every += [(1000 + i, "".join(rng.choice(alphabet) for _ in range(rng.randrange(120)))) for i in range(300)] + [(None, "a@b.c"), (4, "one")]
+    frame = framed(spark, every)
+    found = pii.spans(frame, pii.fit(frame))
+    want = []
+    for d, t in every:
+        base = plain.personal(t)
+        want.append((d, *(sum(s[0] == k for s in base) for k in pii.KINDS), plain.sha(",".join(f"{k}:{a}:{b}" for k, a, b in base))))
+    assert rows(found, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == sorted(want, key=repr)
+    have = {r["doc_id"]: set(r["spans"].split(",")) - {""} for r in found.collect()}
+    for d, t in every:
+        assert {f"{k}:{a}:{b}" for k, a, b in plain.personal(t)} <= have[d] or d == 4
+        assert all(0 <= int(s.split(":")[1]) < int(s.split(":")[2]) <= len(t) for s in have[d])
+
+
+def test_personal_data_model(spark):
+    model = pii.train(["write to jane@firm.example or call +44 20 7946 0958", "in 2011 there were 12345 cases", "server 10.20.30.40 answered"] * 5)
+    text = "You can call (415) 555-2671 or 415-555-2671 in 2011."
+    base, more = pii.find(text, model)
+    assert base == [] and ("phone", 13, 27) in more and not any(text[a:b] == "2011" for _, a, b in more)
+    assert pii.find("token = 'a3f5c9d2e8b14706a3f5c9d2e8b14706'", model)[1][0][0] == "secret"
+    assert pii.find("plain words, 3 of them", model) == ([], [])
+
+
+def test_segmentation_is_the_best_one():
+    """The dynamic programme against all segmentations of short texts, and the forward sum likewise."""
+    model = pii.train(PERSONAL[:6])
+
+    def every(cuts, arcs, j):
+        if j == 0:
+            return [(0.0, ())]
+        out = every(cuts, arcs, j - 1)
+        for i, t, f in arcs[j]:
+            out = out + [(s + model.score(f), (*x, (pii.TYPES[t], cuts[i], cuts[j]))) for s, x in every(cuts, arcs, i)]
+        return out
+
+    for text in ("+1 415 555 26", "10.0.0.1", "4111 1111 1111 1111", "a.b@c.de"):
+        cuts, arcs = pii._lattice(text, 0, len(text))
+        found = every(cuts, arcs, len(cuts) - 1)
+        best = pii.decode(model, text, 0, len(text))
+        got = max((s for s, x in found if list(x) == best), default=None)
+        assert got is not None and math.isclose(got, max(s for s, _ in found), abs_tol=1e-9)
+        assert math.isclose(pii._forward(model, cuts, arcs)[-1], np.logaddexp.reduce([s for s, _ in found]), abs_tol=1e-9)
+
+
+def test_redaction(spark):
+    docs = [(1, "write to a.b@c.org now"), (2, None), (3, ""), (4, "nothing 1 here"), (None, "+44 20 7946 0958")]
+    frame = framed(spark, docs)
+    out = pii.redact(frame, pii.fit(frame))
+    assert out.columns == frame.columns
+    assert rows(out, "doc_id", "text", "n_chars") == sorted([(1, "write to <EMAIL> now", 20), (2, None, None), (3, "", 0), (4, "nothing 1 here", 14), (None, "<PHONE>", 7)], key=repr)
+    assert pii.redact(framed(spark, EMPTY), pii.fit(framed(spark, EMPTY))).count() == 0
+
+
+# 4 and 10: what is learnt
+
+
+def test_quality(spark):
+    rng = random.Random(6)
+    good = ["the careful reader", "finds a well made", "argument in this", "chapter of the book"]
+    bad = ["click here", "buy now!!!", "$$$ free", "xx99 zz"]
+    docs = [(i, " ".join(rng.choice(good if i % 2 else bad) for _ in range(40))) for i in range(300)]
+    docs += [(1000, None), (1001, ""), (None, "the careful reader"), (5, docs[5][1])]
+    frame = framed(spark, docs)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(200)] + [(None, 1, 0), (7, None, 0), (99_999, 1, 1)], "doc_id long, quality int, toxic int")
+    model = quality.fit(frame, labels, lambda c: c < 200)
+    got = {r["doc_id"]: r["score"] for r in quality.score(frame, model).collect()}
+    assert len(got) == 303 and all(0 <= s <= 1 for s in got.values())
+    assert np.mean([(got[i] > 0.5) == (i % 2) for i in range(200, 300)]) > 0.97
+    kept = quality.keep_good(frame, model, 0.3)
+    assert kept.columns == frame.columns
+    assert rows(kept, "doc_id", "text") == rows(frame.where(F.col("doc_id").isin([d for d, s in got.items() if d is not None and s >= 0.3]) | F.col("doc_id").isNull()), "doc_id", "text")
+    none = quality.fit(framed(spark, EMPTY), labels.limit(0), lambda c: F.lit(True))
+    assert {r["score"] for r in quality.score(frame, none).collect()} == {0.5}
+    assert quality.score(framed(spark, EMPTY), model).count() == 0
+
+
+def test_language_id(spark):
+    rng = random.Random(9)
+    vocab = {k: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(80)] for k, letters in (("aa", "abcdeé"), ("bb", "abcdfgh"), ("cc", "nopqrst"))}
+    docs = [(i, " ".join(rng.choice(vocab["abc"[i % 3] * 2]) for _ in range(12)), "abc"[i % 3] * 2) for i in range(240)]
+    docs += [(500, None, "aa"), (501, "", None), (502, "12 34 ?!", "bb"), (503, "日本語", None), (None, docs[0][1], None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string").withColumns({"names": F.lit(1), "rate": F.lit(2)})
+    model = langid.fit(frame, lambda c: c < 180)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(frame, model).collect()}
+    assert len(got) == len(docs) and all(0 <= s <= 1 for _, s in got.values())
+    assert got[500] == got[501] == got[502] == ("und", 0.0) and got[503][0] in model.names and got[None][0] == "aa"
+    assert np.mean([got[i][0] == lang for i, _, lang in docs[180:240]]) > 0.95
+    empty = frame.limit(0)
+    assert langid.predict(empty, langid.fit(empty, lambda c: F.lit(True))).count() == 0
+    assert {r["lang_pred"] for r in langid.predict(frame, langid.fit(empty, lambda c: F.lit(True))).collect()} == {"und"}
+
+
+def test_language_filters_hold_what_was_learnt():
+    """No n-gram learnt is ever missed, and the fill says how often others seem present."""
+    rng = np.random.default_rng(3)
+    g = rng.integers(0, 2**40, 20_000, dtype=np.uint64)
+    plane = np.zeros(langid.SLOTS, np.uint64)
+    for s in langid._slots(g):
+        plane[s] |= np.uint64(1)
+    test = lambda x: np.bitwise_and.reduce([plane[s] for s in langid._slots(x)]) == 1
+    assert test(g).all()
+    others = rng.integers(2**40, 2**41, 200_000, dtype=np.uint64)
+    assert abs(test(others).mean() - plane.mean() ** langid.HASHES) < 0.002
+
+
+# 8: mixing
+
+
+@pytest.mark.parametrize("shares", [{"a": 1, "b": 1}, {"a": 7, "b": 2, "c": 1}, {"a": 333, "b": 333, "c": 334}, {"a": 500, "b": 499, "c": 1}, {f"s{i}": i + 1 for i in range(44)}])
+def test_schedule_stays_within_a_block(shares):
+    period = sum(shares.values())
+    done = dict.fromkeys(shares, 0)
+    for s, j, slot, due in mixing.schedule(shares):
+        assert (j - 1) * period // shares[s] <= slot < due == -(-j * period // shares[s])
+        done[s] += 1
+        assert all(abs(done[k] - shares[k] * (slot + 1) / period) < 1 for k in shares)
+    assert done == shares
+
+
+def test_mixing(spark):
+    docs = [(i, f"t{i}", ["big"] * 8 + ["mid"] * 3 + [None]) for i in range(1200)]
+    frame = spark.createDataFrame([(i, t, s[i % 12], 5, "z") for i, t, s in docs] + [(None, "n", "big", 5, "z"), (3, "again", "mid", 5, "z")], "doc_id long, text string, source string, mix_slot int, rank string").repartition(5)
+    out = mixing.mix(frame, period=100, block=4)
+    got = [r.asDict() for r in out.collect()]
+    assert sorted((repr(r["doc_id"]), r["text"], repr(r["source"])) for r in got) == sorted((repr(r["doc_id"]), r["text"], repr(r["source"])) for r in frame.collect())
+    assert len({r["mix_position"] for r in got}) == len(got)
+    sources: dict = {}
+    for r in got:
+        assert r["mix_position"] // 4 == r["mix_slot"] < r["mix_deadline"]
+        sources.setdefault(r["mix_slot"], set()).add(r["source"])
+    assert all(len(s) == 1 for s in sources.values())
+    counts = Counter(r["source"] for r in got)
+    shares = mixing.whole_shares({k or "": v**0.5 for k, v in counts.items()}, 100)
+    inside = sorted({r["mix_slot"] for r in got if r["in_target"]})
+    assert inside == list(range(len(inside))) and len(inside) > 20
+    done: Counter = Counter()
+    for slot in inside:
+        done[next(iter(sources[slot])) or ""] += 1
+        assert all(abs(done[k] - shares[k] * (slot + 1) / 100) < 1 for k in shares)
+    again = mixing.mix(frame.repartition(2), period=100, block=4)
+    assert rows(again.where("doc_id is not null and doc_id <> 3"), "doc_id", "mix_position") == rows(out.where("doc_id is not null and doc_id <> 3"), "doc_id", "mix_position")
+
+
+def test_mixing_odd(spark):
+    assert mixing.mix(spark.createDataFrame([], "doc_id long, source string")).count() == 0
+    many = spark.createDataFrame([(i, f"s{i}") for i in range(1500)], "doc_id long, source string")
+    out = mixing.mix(many)
+    assert out.count() == 1500 and out.select("mix_position").distinct().count() == 1500
+    given = mixing.mix(spark.createDataFrame([(i, "ab"[i % 2]) for i in range(64)], "doc_id long, source string"), {"a": 3, "b": 1}, period=4, block=1)
+    first = Counter(r["source"] for r in given.where("mix_slot < 8").collect())
+    assert first == {"a": 6, "b": 2}
+
+
+# 9: repeated passages
+
+
+@pytest.mark.parametrize("window", [13, 6])
+def test_substring(spark, docs, window):
+    every = [*docs, (None, docs[-1][1]), (docs[3][0], docs[3][1]), (950, "again " * 40), (951, "again " * 14)]
+    found = substring.remove_repeats(framed(spark, every), window)
+    assert rows(found, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(plain.substring(every, window), key=repr)
+    assert substring.remove_repeats(framed(spark, EMPTY), window).count() == 0
+
+
+def test_substring_crowded(spark):
+    """One passage in most documents, and a filter so small that it lets nearly all windows pass."""
+    rng = random.Random(12)
+    passage = " ".join(rng.choice(WORDS) for _ in range(25))
+    docs = [(i, " ".join([*(rng.choice(WORDS) for _ in range(rng.randrange(20))), passage, *(rng.choice(WORDS) for _ in range(20))])) for i in range(300)]
+    want = sorted(plain.substring(docs, 13), key=repr)
+    old = substring.TASK
+    substring.TASK = 500
+    try:
+        found = substring.remove_repeats(framed(spark, docs), 13)
+        assert rows(found, "doc_id", "n_words", "n_removed", "kept_sha256") == want
+    finally:
+        substring.TASK = old
