@@ -61,14 +61,6 @@ def insert(target: DataFrame, rows: DataFrame, unless_exists: list[str] | None =
     return Change(target.unionByName(new), inserted=new)
 
 
-def _single(matched: DataFrame, key: str, allow: bool) -> DataFrame:
-    """The matches, or an error at run time where a target row has several."""
-    if allow:
-        return matched.dropDuplicates([key])
-    times = F.count(F.lit(1)).over(Window.partitionBy(key))
-    return matched.withColumn("_n", times).withColumn("_ok", F.when(F.col("_n") > 1, F.raise_error(F.lit("a row of the target matches several rows of the source"))).otherwise(F.lit(True))).where("_ok").drop("_n", "_ok")
-
-
 def _sides(target: DataFrame, source: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = target.select(F.struct(*[F.col(f"`{c}`") for c in target.columns]).alias("target"), F.monotonically_increasing_id().alias("_row"))
     s = source.select(F.struct(*[F.col(f"`{c}`") for c in source.columns]).alias("source"))
@@ -107,32 +99,32 @@ def _joined(target, source, on, matched, new, alone, definition, first_match) ->
         old = lambda c: F.col("target").getField(c) if keep else _value(DEFAULT, c, definition)
         return F.struct(*[(_value(assign[c], c, definition) if c in assign else old(c)).cast(types[c]).alias(c) for c in names])
 
-    def applied(rows: DataFrame, clauses, keep: bool) -> DataFrame:
-        """The first clause whose condition holds acts."""
-        action, result = F.lit(None).cast("string"), F.col("target") if keep else row({}, False)
-        empty = F.lit(None).cast(result_type)
-        for kind, when, assign in reversed(clauses):
+    def applied(clauses, keep: bool) -> tuple[Column, Column]:
+        """Action and new row: the first clause whose condition holds acts."""
+        empty = F.lit(None).cast(kind)
+        action, result = F.lit(None).cast("string"), F.col("target") if keep else empty
+        for what, when, assign in reversed(clauses):
             p = F.coalesce(when if when is not None else F.lit(True), F.lit(False))
-            action = F.when(p, kind).otherwise(action)
-            result = F.when(p, empty if kind == "DELETE" else row(assign, keep)).otherwise(result)
-        return rows.select(action.alias("_action"), (F.col("target") if keep else empty).alias("deleted"), result.alias("inserted"))
-
-    result_type = t.schema["target"].dataType
-    # The largest shuffle is the join itself; both sides are named once, so a target row keeps its number.
-    pairs = t.join(s, on, "left")
-    hit = F.col("source").isNotNull()
-    both = _single(pairs.where(hit), "_row", first_match) if matched else pairs.where(hit).dropDuplicates(["_row"])
-    parts = [applied(both, matched, True), applied(pairs.where(~hit), alone, True)]
-    if new:
-        missing = s.join(t.select("target"), on, "left_anti").withColumn("target", F.lit(None).cast(result_type))
-        parts.append(applied(missing, new, False).where(F.col("_action").isNotNull()))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+            action = F.when(p, what).otherwise(action)
+            result = F.when(p, empty if what == "DELETE" else row(assign, keep)).otherwise(result)
+        return action, result
+
+    kind = t.schema["target"].dataType
+    # One join, of both sides in full if new rows are wanted; a target row's matches then meet by its number.
+    pairs = t.join(s, on, "full" if new else "left").withColumn("_row", F.coalesce("_row", -1 - F.monotonically_increasing_id()))
+    if matched and not first_match:
+        pairs = pairs.withColumn("_n", F.count("source").over(Window.partitionBy("_row")))
+        pairs = pairs.where(F.when(F.col("_n") > 1, F.raise_error(F.lit("a row of the target matches several rows of the source"))).otherwise(F.lit(True)))
+    else:
+        pairs = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy("source"))).where("_n = 1")
+    there, hit = F.col("target").isNotNull(), F.col("target").isNotNull() & F.col("source").isNotNull()
+    by_hit, by_target, by_source = applied(matched, True), applied(alone, True), applied(new, False)
+    pick = lambda i: F.when(hit, by_hit[i]).when(there, by_target[i]).otherwise(by_source[i])
+    out = pairs.select(pick(0).alias("_action"), F.col("target").alias("deleted"), pick(1).alias("inserted"))
     table = out.where(F.col("inserted").isNotNull()).select(*[F.col("inserted").getField(c).alias(c) for c in names])
     touched = out.where(F.col("_action").isNotNull())
-    pick = lambda side, *kinds: touched.where(F.col("_action").isin(*kinds)).select(f"{side}.*")
-    return Change(table, pick("inserted", "INSERT"), pick("deleted", "DELETE", "UPDATE"), touched)
+    side = lambda name, *actions: touched.where(F.col("_action").isin(*actions)).select(f"{name}.*")
+    return Change(table, side("inserted", "INSERT"), side("deleted", "DELETE", "UPDATE"), touched)
 
 
 @dataclass

@@ -175,14 +175,16 @@ def in_subquery(t):
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 150000)")
 def not_in_subquery(t):
-    t.customer.createOrReplaceTempView("quarry_customer")
-    t.orders.createOrReplaceTempView("quarry_orders")
-    return t.spark.sql("SELECT c_custkey FROM quarry_customer WHERE c_custkey NOT IN (SELECT o_custkey FROM quarry_orders WHERE o_totalprice > 150000)")
+    from quarry.operators.predicates import not_in
+
+    return not_in(t.customer.select("c_custkey"), c("c_custkey"), t.orders.where("o_totalprice > 150000").select("o_custkey"))
 
 
 @query("SELECT a FROM (VALUES (1), (2), (NULL)) AS x(a) WHERE a NOT IN (SELECT b FROM (VALUES (2), (NULL)) AS y(b))")
 def not_in_with_null(t):
-    return t.spark.sql("SELECT a FROM VALUES (1), (2), (NULL) AS x(a) WHERE a NOT IN (SELECT b FROM VALUES (2), (NULL) AS y(b))")
+    from quarry.operators.predicates import not_in
+
+    return not_in(t.values("(1), (2), (NULL)", "a"), c("a"), t.values("(2), (NULL)", "b"))
 
 
 @query("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o.o_totalprice > c.c_acctbal * 40)")

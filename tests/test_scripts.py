@@ -57,6 +57,18 @@ def test_changes_from_objects(spark):
             bad()
 
 
+def test_in_and_not_in_know_nulls(spark):
+    from quarry.operators.predicates import is_in, not_in
+
+    df = spark.createDataFrame([(1,), (2,), (None,)], "a int")
+    some, nulls, none = (spark.createDataFrame(x, "b int") for x in ([(2,), (2,)], [(2,), (None,)], []))
+    a = F.col("a")
+    assert [rows(not_in(df, a, q)) for q in (some, nulls, none)] == [[(1,)], [], [(1,), (2,), (None,)]]
+    assert [rows(is_in(df, a, q)) for q in (some, nulls, none)] == [[(2,)], [(2,)], []]
+    with pytest.raises(ValueError, match="one column"):
+        is_in(df, a, spark.createDataFrame([(1, 2)], "a int, b int"))
+
+
 def test_readers(spark, tmp_path):
     spark.createDataFrame([(1, "a")], "id int, s string").write.json(str(tmp_path / "j"))
     assert rows(readers.read_files(spark, str(tmp_path / "j"), "json", "id int, s string")) == [(1, "a")]
