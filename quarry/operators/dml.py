@@ -42,7 +42,7 @@ def insert(target: DataFrame, rows: DataFrame, unless_exists: list[str] | None =
     """Rows added. Columns that ``rows`` lacks get their default or null; ``also`` adds expressions for all.
 
     ``unless_exists``: only rows that differ from all of the target's in these columns (null equals null).
-    ``identity``: a column numbered on from the target's largest value, in partitions, so with gaps.
+    ``identity``: a column numbered on from the target's largest value, without gaps.
     """
     for name, v in (also or {}).items():
         rows = rows.withColumn(name, _value(v, name, definition))
@@ -55,12 +55,26 @@ def insert(target: DataFrame, rows: DataFrame, unless_exists: list[str] | None =
         rows = rows.join(have, on, "left_anti")
     if identity:
         start = target.agg(F.coalesce(F.max(identity), F.lit(0))).first()[0]
-        rows = rows.withColumn(identity, F.monotonically_increasing_id() + start + 1)
+        rows = _numbered(rows, identity, start)
     cast = {f.name: f.dataType for f in target.schema}
     new = rows.select(*[(F.col(c) if c in rows.columns else _value(DEFAULT, c, definition)).cast(cast[c]).alias(c) for c in target.columns])
     return Change(target.unionByName(new), inserted=new)
 
 
+def _numbered(rows: DataFrame, name: str, start: int) -> DataFrame:
+    """Consecutive numbers after ``start``: partitions are counted first, so that all are numbered at once."""
+    marked = rows.drop(name).withColumn("_at", F.monotonically_increasing_id())
+    part = F.shiftright("_at", 33)
+    counts = {r["p"]: r["n"] for r in marked.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each partition
+    before, total = [], start
+    for p in sorted(counts):
+        before.append((p, total))
+        total += counts[p]
+    offsets = rows.sparkSession.createDataFrame(before, "_p long, _before long")
+    out = marked.join(F.broadcast(offsets), part == F.col("_p"))
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_p", "_before")
+
+
 def _sides(target: DataFrame, source: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = target.select(F.struct(*[F.col(f"`{c}`") for c in target.columns]).alias("target"), F.monotonically_increasing_id().alias("_row"))
     s = source.select(F.struct(*[F.col(f"`{c}`") for c in source.columns]).alias("source"))

@@ -76,12 +76,22 @@ class Session:
         tree = parse(text)
         return shape(self.run(tree, {x.name: None for x in tree.walk() if isinstance(x, S.Param)}))
 
-    def _bare(self, x: S.Node | None, tree: S.Node, sides: dict[str, str]) -> Column | None:
-        """An expression as a Column over target and source structs."""
+    def _bare(self, x: S.Node | None, tree: S.Node, sides: dict[str, str], loose: dict[str, str] | None = None) -> Column | None:
+        """An expression as a Column over target and source structs; ``loose`` has the side of names without one."""
         if x is None:
             return None
-        fixed = x.transform(lambda n: n.with_(source=sides.get(n.source.lower(), n.source)) if isinstance(n, S.Col) and n.source else n)
-        return F.expr(self._emitter(tree).sql(fixed))
+
+        def placed(n: S.Node):
+            if not isinstance(n, S.Col):
+                return n
+            if n.source:
+                return n.with_(source=sides.get(n.source.lower(), n.source))
+            side = (loose or {}).get(n.name.lower(), "")
+            if side == "both":
+                raise TsqlError(f"{n.name} is a column of both sides")
+            return n.with_(source=side)
+
+        return F.expr(self._emitter(tree).sql(x.transform(placed)))
 
     def _source(self, source: S.Node) -> tuple[DataFrame, str]:
         alias = getattr(source, "alias", "") or source.name
@@ -96,7 +106,7 @@ class Session:
             raise TsqlError(f"there is no table {tree.target.name}")
         target, definition = self.tables[name], self.definitions.get(name)
         mine = {(tree.target.alias or tree.target.name).lower(): "target", name: "target"}
-        value = lambda a, sides: dml.DEFAULT if a.value is None else self._bare(a.value, tree, sides)
+        value = lambda a, sides, loose=None: dml.DEFAULT if a.value is None else self._bare(a.value, tree, sides, loose)
         if isinstance(tree, S.Insert):
             columns = list(tree.columns or target.columns)
             if isinstance(tree.source, S.Values):
@@ -119,9 +129,10 @@ class Session:
         elif isinstance(tree, S.Merge):
             source, alias = self._source(tree.source)
             sides = mine | {alias.lower(): "source"}
-            m = dml.merge(target, source, self._bare(tree.on, tree, sides), definition)
+            loose = _loose(target, source)
+            m = dml.merge(target, source, self._bare(tree.on, tree, sides, loose), definition)
             for c in tree.clauses:
-                when, assign = self._bare(c.when, tree, sides), {a.column: value(a, sides) for a in c.assigns}
+                when, assign = self._bare(c.when, tree, sides, loose), {a.column: value(a, sides, loose) for a in c.assigns}
                 if c.action == "DELETE":
                     (m.when_matched_delete if c.kind == "MATCHED" else m.when_not_matched_by_source_delete)(when)
                 elif c.action == "UPDATE":
@@ -143,15 +154,22 @@ class Session:
                 sides = {(source.left.alias or source.left.name).lower(): "target"}
                 other, alias = self._source(source.right)
                 sides |= {alias.lower(): "source"}
-                on, where = self._bare(source.on, tree, sides), self._bare(tree.where, tree, sides)
+                loose = _loose(target, other)
+                on, where = self._bare(source.on, tree, sides, loose), self._bare(tree.where, tree, sides, loose)
                 if isinstance(tree, S.Delete):
                     change = dml.delete(target, where, other, on)
                 else:
-                    change = dml.update(target, {a.column: value(a, sides) for a in tree.assigns}, None, other, on if where is None else on & where, definition)
+                    change = dml.update(target, {a.column: value(a, sides, loose) for a in tree.assigns}, None, other, on if where is None else on & where, definition)
         self.register(tree.target.name, change.table)
         return change
 
 
+def _loose(target: DataFrame, source: DataFrame) -> dict[str, str]:
+    """The side of each column name."""
+    out = {c.lower(): "target" for c in target.columns}
+    return out | {c.lower(): "both" if c.lower() in out else "source" for c in source.columns}
+
+
 def _keys(tree: S.Merge, sides: dict[str, str]) -> dict:
     """Target columns that the ON condition sets equal to the source's."""
     out = {}
