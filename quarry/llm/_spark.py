@@ -9,7 +9,7 @@ import uuid
 from pathlib import Path
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.session import shared_folder
@@ -52,6 +52,12 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def sampled(column: str, wanted: int, total: int) -> Column:
+    """True of about ``wanted`` of ``total`` rows, by a hash of a column; of all, if there are no more."""
+    part = F.pmod(F.xxhash64(F.col(column), F.lit(3)), F.lit(1 << 40))
+    return part < F.lit(min(1 << 40, (1 << 40) * wanted // max(1, total)))
+
+
 def shards(spark: SparkSession, least: int = 16) -> int:
     """Number of key ranges: as many as shuffle partitions, which are sized to the data."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))

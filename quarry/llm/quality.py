@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches
+from ._spark import bounded_batches, sampled
 
 #: Bytes that are compressed at a time, so that a long text doesn't become its own dictionary.
 BLOCK = 2048
@@ -83,10 +83,9 @@ def fit(docs: DataFrame, labels: DataFrame, learn, per_class: int = 1500, longes
     """
     marked = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & learn(F.col("doc_id")))
     total = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    order = F.xxhash64("doc_id")
     picked: dict[int, list[int]] = {}
     for y in (0, 1):
-        rows = marked.where(F.col("y") == y).select("doc_id").distinct().orderBy(order, "doc_id").limit(per_class).collect()
+        rows = marked.where((F.col("y") == y) & sampled("doc_id", per_class, total.get(y, 0))).select("doc_id").distinct().limit(2 * per_class).collect()
         for r in rows:
             picked.setdefault(r["doc_id"], []).append(y)
     texts: tuple[list, list] = ([], [])
