@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +30,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def give_back() -> None:
+    """Return freed memory to the system: a worker idles between tasks, and others need it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``most`` bytes of text, or one row."""
     for b in batches:
@@ -41,6 +50,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20)
             j = max(i + 1, int(np.searchsorted(end, (end[i - 1] if i else 0) + most, "right")))
             yield b.slice(i, j - i)
             i = j
+    give_back()
 
 
 def flat(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:

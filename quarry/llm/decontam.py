@@ -19,7 +19,7 @@ BITS = 21
 MOST = (1 << BITS) - 2
 FOUND = ("n_words", "n_hit", "longest_match", "n_items", "items_sha256", "contaminated")
 #: Bytes of text in a shard.
-SHARD = 8 << 20
+SHARD = 2 << 20
 
 
 @dataclass
@@ -178,7 +178,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_words: in
 
     Words are runs of [0-9a-z] and non-ASCII characters of the lower-cased text; a word is hit if a
     window of ``window`` consecutive words of an item (the whole item, if it is shorter) covers it.
-    Shards of whole documents (about 8 MB) are sorted into suffix arrays, in which all windows are
+    Shards of whole documents (about 2 MB) are sorted into suffix arrays, in which all windows are
     searched by bisection; equal suffixes give the locations. longest_match is the most consecutive
     words shared with an item, in windows.
 
@@ -192,56 +192,42 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_words: in
     bounded_batches(spark)
     levels = -(-window // 3)
     names = docs.columns if texts else ["doc_id"]
-    state = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").alias("t"), F.lit(0).cast("long").alias("n"), F.lit(None).cast("binary").alias("state"))
-    searched = 0
-    for block in blocks(benchmark, window, most_words):
-        searched += 1
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches, shared=shared):
+    state = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").alias("t"), F.lit(None).cast("binary").alias("state"))
+    row = state.schema["row"].dataType.simpleString()
+    done = f"row {row}, n_words long, n_hit long, longest_match long, n_items long, items_sha256 string, contaminated boolean"
+    nothing = ([], set(), 0)
+    coming = blocks(benchmark, window, most_words)
+    block = next(coming, None) or TestBlock(np.zeros(0, np.uint64), *(np.zeros((levels, 0), np.int64),) * 2, np.zeros(0, np.int64), [], [], [])
+    while block is not None:
+        after = next(coming, None)
+        shared, last = spark.sparkContext.broadcast(block), after is None
+
+        def run(batches, shared=shared, last=last):
             for b in pieces(batches, "t", SHARD):
                 block = shared.value
                 n, longest, items, first, pos, win = _found(block, b.column("t"), levels)
                 cut = np.searchsorted(pos, first)
-                out = []
-                for d, old in enumerate(b.column("state").to_pylist()):
-                    if not items[d]:
-                        out.append(old)
-                        continue
-                    spans, have, most = pickle.loads(old) if old else ([], set(), 0)
+                states = b.column("state").to_pylist()
+                for d in np.flatnonzero([len(x) > 0 for x in items]).tolist():
+                    spans, have, most = pickle.loads(states[d]) if states[d] else nothing
                     own = slice(cut[d], cut[d + 1])
                     start = pos[own] - first[d]
                     spans = merged([*spans, *zip(start.tolist(), (start + block.length[win[own]]).tolist(), strict=True)])
-                    out.append(pickle.dumps((spans, have | {block.items[k] for k in items[d]}, max(most, int(longest[d])))))
-                yield pa.RecordBatch.from_arrays([b.column("row"), b.column("t"), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["row", "t", "n", "state"])
-
-        state = state.mapInArrow(run, state.schema)
-    if not searched:
-        state = _only_counted(state)
-
-    def finish(batches):
-        nothing = ([], set(), 0)
-        for b in batches:
-            states = [pickle.loads(x) if x else nothing for x in b.column("state").to_pylist()]
-            hit = [sum(y - x for x, y in s[0]) for s in states]
-            sha = [hashlib.sha256(",".join(sorted(s[1])).encode()).hexdigest() for s in states]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("row"), b.column("n"), pa.array(hit, pa.int64()), pa.array([s[2] for s in states], pa.int64()), pa.array([len(s[1]) for s in states], pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in hit], pa.bool_())],
-                names=["row", *FOUND],
-            )
-
-    row = state.schema["row"].dataType.simpleString()
-    done = state.select("row", "n", "state").mapInArrow(finish, f"row {row}, n_words long, n_hit long, longest_match long, n_items long, items_sha256 string, contaminated boolean")
-    return done.select(*[F.col("row").getField(c).alias(c) for c in names], *FOUND)
-
-
-def _only_counted(state: DataFrame) -> DataFrame:
-    def run(batches):
-        for b in pieces(batches, "t", SHARD):
-            _, first = word_hashes(b.column("t"), ALNUM, True)
-            yield b.set_column(2, "n", pa.array(np.diff(first), pa.int64()))
-
-    return state.mapInArrow(run, state.schema)
+                    states[d] = pickle.dumps((spans, have | {block.items[k] for k in items[d]}, max(most, int(longest[d]))))
+                if not last:
+                    yield b.set_column(2, "state", pa.array(states, pa.binary()))
+                    continue
+                found = [pickle.loads(x) if x else nothing for x in states]
+                hit = [sum(y - x for x, y in s[0]) for s in found]
+                sha = [hashlib.sha256(",".join(sorted(s[1])).encode()).hexdigest() for s in found]
+                yield pa.RecordBatch.from_arrays(
+                    [b.column("row"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([s[2] for s in found], pa.int64()), pa.array([len(s[1]) for s in found], pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in hit], pa.bool_())],
+                    names=["row", *FOUND],
+                )
+
+        state = state.mapInArrow(run, done if last else state.schema)
+        block = after
+    return state.select(*[F.col("row").getField(c).alias(c) for c in names], *FOUND)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
