@@ -8,18 +8,24 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._spark import bounded_batches, id_filter, in_filter, materialize
-from ._words import K1, SPACED, U, grams, mix, pieces, word_hashes
+from ._words import K1, SPACED, U, give_back, grams, mix, pieces, word_hashes
 from .components import components
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
 #: Rounds of comparisons with centres, each linear in the number of classes.
 ROUNDS = 2
-_SEEDS = mix(np.arange(1, REGISTERS + 1, dtype=U) * K1)
+#: Documents in crowded buckets are compared by their TOP rarest shingles, long ones by finer sketches of 2 ** FINE registers.
+FINE, TOP, SHORT, LONG = 9, 128, 1000, 800
+#: Documents with a rare shingle that a task compares at once, and rows of a group.
+TILE, GROUP = 4096, 10_000
+#: Bytes of text that a task takes at once.
+PIECE = 2 << 20
+_SEEDS = mix(np.arange(1, (1 << FINE) + 1, dtype=U) * K1)
 _BAND_SEEDS = mix(np.arange(1001, 1001 + BANDS, dtype=U) * K1)
 
 
@@ -30,24 +36,28 @@ def shingles(h: np.ndarray, n: int) -> np.ndarray:
     return np.unique(grams(h, min(n, len(h))))
 
 
-def registers(u: np.ndarray) -> np.ndarray:
+def registers(u: np.ndarray, bits: int = 7) -> np.ndarray:
     """HyperMinHash registers of a non-empty set of hashes, as uint16.
 
-    Seven bits of a hash choose the bucket; the least of the other 57 in a bucket is kept as its count of
+    ``bits`` bits of a hash choose the bucket; the least of the others in a bucket is kept as its count of
     leading zeros (6 bits) and the 10 bits after the first one. An empty bucket takes the least hash of
     the whole set under its own seed, so that two sets agree in a bucket with the probability of their
     similarity whatever their sizes.
     """
-    k = np.sort((u << U(57)) | (u >> U(7)))
-    bucket = (k >> U(57)).astype(np.int64)
+    rest = U(64 - bits)
+    k = np.sort((u << rest) | (u >> U(bits)))
+    bucket = (k >> rest).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
-    low = np.zeros(REGISTERS, U)
-    low[bucket[first]] = k[first] & U((1 << 57) - 1)
-    empty = np.ones(REGISTERS, bool)
+    low = np.zeros(1 << bits, U)
+    low[bucket[first]] = k[first] & ((U(1) << rest) - U(1))
+    empty = np.ones(1 << bits, bool)
     empty[bucket[first]] = False
-    for e in np.flatnonzero(empty):
-        low[e] = mix(u ^ _SEEDS[e]).min() >> U(7)
-    fraction, exponent = np.frexp((low >> U(4)).astype(np.float64))
+    at = np.flatnonzero(empty)
+    step = max(1, (1 << 18) // len(u))
+    for i in range(0, len(at), step):
+        e = at[i : i + step]
+        low[e] = mix(u[None, :] ^ _SEEDS[e][:, None]).min(1) >> U(bits)
+    fraction, exponent = np.frexp((low >> U(11 - bits)).astype(np.float64))
     mantissa = ((np.maximum(fraction, 0.5) * 2 - 1) * (1 << MANTISSA)).astype(np.uint16)
     return ((53 - exponent).astype(np.uint16) << np.uint16(MANTISSA)) | mantissa
 
@@ -63,7 +73,7 @@ def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np
 
 def _sketch(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
-        for b in pieces(batches, "text"):
+        for b in pieces(batches, "text", PIECE):
             h, first = word_hashes(b.column("text"), SPACED, True)
             size, fp, regs, bands = [], [], [], []
             for i in range(b.num_rows):
@@ -87,23 +97,28 @@ def _sketch(docs: DataFrame, n: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
-    """(id, set) of the documents among ``nodes`` (node): a bitmap of fixed size spares most others."""
+    """(id, g, set, fine) of the documents among ``nodes`` (node): a bitmap of fixed size spares most others.
+
+    g tells sets of one id apart; fine is a sketch of more registers, for large sets only.
+    """
     bitmap = docs.sparkSession.sparkContext.broadcast(id_filter(nodes, "node"))
 
     def run(batches):
         for b in batches:
             b = b.filter(pa.array(in_filter(bitmap.value, b.column("h").to_numpy(zero_copy_only=False))))
-            for b in pieces(iter([b]), "text"):
+            for b in pieces(iter([b]), "text", PIECE):
                 h, first = word_hashes(b.column("text"), SPACED, True)
                 sets = [shingles(h[first[i] : first[i + 1]], n).view(np.int64) for i in range(b.num_rows)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["id", "set"])
+                g = [xxhash.xxh3_64_intdigest(x.tobytes()) >> 1 for x in sets]
+                fine = [registers(x.view(U), FINE).tobytes() if len(x) > LONG else b"" for x in sets]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(g, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(fine, pa.binary())], names=["id", "g", "set", "fine"])
 
     found = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", F.xxhash64("doc_id").alias("h"))
-    return found.mapInArrow(run, "id long, set array<long>").where(F.size("set") > 0).join(nodes, F.col("id") == F.col("node"), "left_semi")
+    return found.mapInArrow(run, "id long, g long, set array<long>, fine binary").where(F.size("set") > 0).join(nodes, F.col("id") == F.col("node"), "left_semi")
 
 
-def _linked(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+def _linked(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, percent: int, sets: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; ``sets``, if given, holds those of all in ``pairs``."""
     slack = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
 
     @F.pandas_udf("boolean")
@@ -114,13 +129,102 @@ def _linked(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, perc
     side = lambda s: sketches.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & likely("ra", "rb", "na", "nb"))
     near = materialize(near.select("a", "b"))
-    nodes = near.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = materialize(_sets(docs, nodes, n))
+    if sets is None:
+        sets = materialize(_sets(docs, near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), n))
     both = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b")
 
 
+def _rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) of different components that share one of their rarest shingles; none that is similar enough is missed.
+
+    With shingles in the order of their frequency among ``sets``, the rarest ninth (for 80 percent) of the
+    smaller set and the rarest fifth of the larger one have a member in common if the sets are similar
+    enough. What a crowd of documents shares isn't among the rarest of those that have much of their own.
+    Documents with a rare shingle in common are compared within a task (tiles of a crowd in several), which
+    gives out only pairs that can be similar enough: for sets of up to 1000 by what their 128 rarest
+    shingles have in common and all others could have, for larger ones by fine sketches.
+    """
+    every = sets.select("id", "g", F.size("set").cast("long").alias("n"), F.explode("set").alias("t"))
+    often = every.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    own = Window.partitionBy("id", "g")
+    # Shingles of one set only come first; they are counted, but meet nothing.
+    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("f", "t"))
+    whole = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
+    short = F.expr(f"n - ((2 * {percent} * n + {99 + percent}) div {100 + percent}) + 1")
+    placed = every.join(often, "t").withColumn("place", place).where((F.col("place") <= whole) | (F.col("place") <= TOP) & (F.col("n") <= SHORT))
+    placed = materialize(placed.select("id", "g", "n", "t", "place"))
+    tops = placed.where((F.col("place") <= TOP) & (F.col("n") <= SHORT)).groupBy("id", "g").agg(F.collect_list("t").alias("top"))
+    rare = placed.where(F.col("place") <= whole).select("id", "g", "n", "t", (F.col("place") <= short).alias("first"))
+    rare = rare.join(labels, F.col("id") == F.col("node")).drop("node")
+    crowds = rare.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
+    crowds = crowds.select("t", F.ceil(F.col("m") / TILE).cast("int").alias("parts"))
+    known = sets.select("id", "g", "fine").join(tops, ["id", "g"], "left")
+    rows = materialize(rare.join(crowds, "t").join(known, ["id", "g"]).drop("g"))
+    groups = rows.count() // GROUP + 1
+    mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
+    others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    few, many = rows.where("parts = 1"), rows.where("parts > 1")
+    zero = F.lit(0)
+    dealt = few.select(F.pmod(F.xxhash64("t"), F.lit(groups)).alias("s"), zero.alias("i"), zero.alias("j"), zero.alias("side"), "t", "id", "n", "label", "first", "fine", "top")
+    alone = (F.shiftright(F.xxhash64("t"), 20) + (1 << 45)).alias("s")
+    dealt = dealt.unionByName(many.where("first").select(alone, mine.alias("i"), others.alias("j"), F.lit(1).alias("side"), "t", "id", "n", "label", "first", "fine", "top"))
+    dealt = dealt.unionByName(many.select(alone, others.alias("i"), mine.alias("j"), F.lit(2).alias("side"), "t", "id", "n", "label", F.lit(False).alias("first"), "fine", "top"))
+    least = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / (1 << FINE))
+
+    def compare(table: pa.Table) -> pa.Table:
+        t, ids, n, label, first, side = (table[c].to_numpy() for c in ("t", "id", "n", "label", "first", "side"))
+        fine = table["fine"].to_pylist()
+        sketch = np.cumsum([len(x) > 0 for x in fine]) - 1
+        regs = np.frombuffer(b"".join(fine), np.uint16).reshape(-1, 1 << FINE)
+        top = table["top"].combine_chunks()
+        size = top.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        shingle = np.asarray(top.flatten()).view(U)
+        start = np.concatenate([[0], np.cumsum(size)])
+        held = np.sort(mix(shingle + mix(np.repeat(np.arange(len(size)), size).astype(U))))
+        rest = np.where(n <= SHORT, np.maximum(0, n - TOP), n)
+
+        def possible(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            """Whether the rarest shingles of two sets leave room for enough in common."""
+            m = size[x]
+            at = np.repeat(start[x] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())
+            key = mix(shingle[at] + mix(np.repeat(y, m).astype(U)))
+            found = held[np.minimum(np.searchsorted(held, key), max(0, len(held) - 1))] == key if len(held) else np.zeros(len(key), bool)
+            common = np.bincount(np.repeat(np.arange(len(x)), m)[found], minlength=len(x))
+            most = common + np.maximum(rest[x], rest[y])
+            return most * 100 >= percent * (n[x] + n[y] - most)
+
+        small, large = np.flatnonzero(first), np.flatnonzero(side != 1)
+        large = large[np.argsort(t[large], kind="stable")]
+        lo, hi = np.searchsorted(t[large], t[small], "left"), np.searchsorted(t[large], t[small], "right")
+        out = [np.zeros((2, 0), np.int64)]
+        begin, end = 0, np.cumsum(hi - lo)
+        while begin < len(small):  # at most 20,000 pairs, or one row's
+            stop = max(begin + 1, int(np.searchsorted(end, (end[begin - 1] if begin else 0) + 20_000, "right")))
+            m = (hi - lo)[begin:stop]
+            x = np.repeat(small[begin:stop], m)
+            y = large[np.repeat(lo[begin:stop] - np.concatenate([[0], np.cumsum(m)[:-1]]), m) + np.arange(m.sum())]
+            ok = (label[x] != label[y]) & ((n[x] < n[y]) | (n[x] == n[y]) & (ids[x] < ids[y])) & (n[x] * 100 >= n[y] * percent)
+            x, y = x[ok], y[ok]
+            near = np.ones(len(x), bool)
+            both = np.flatnonzero((n[x] <= SHORT) & (n[y] <= SHORT))
+            near[both] = possible(x[both], y[both])
+            both = np.flatnonzero((n[x] > LONG) & (n[y] > LONG))
+            for k in range(0, len(both), 20_000):
+                p = both[k : k + 20_000]
+                near[p] &= (regs[sketch[x[p]]] == regs[sketch[y[p]]]).mean(1) >= least
+            a, b = ids[x[near]], ids[y[near]]
+            out.append(np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1))
+            begin = stop
+        a, b = np.unique(np.concatenate(out, 1), axis=1)
+        give_back()
+        return pa.table({"a": a, "b": b})
+
+    found = dealt.groupBy("s", "i", "j").applyInArrow(compare, "a long, b long")
+    return found.distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of ``docs`` (doc_id, text).
 
@@ -132,8 +236,8 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     their full sets.
 
     A band's bucket isn't expanded into pairs: in rounds, each class is compared with two of its buckets'
-    centres, the members that meet most others; then only pairs of one bucket that are still in different
-    components are.
+    centres, the members that meet most others. Classes whose buckets still hold several components then
+    meet by their rarest shingles.
 
     A null, empty or blank text has no shingles and is linked with nothing. Rows that share a doc_id count
     as linked. A null doc_id represents no class: such a row gets the component of its equal texts, or null
@@ -166,13 +270,13 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
         labels = components(links)
         state = members.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "key", "reach", F.coalesce("label", "rep").alias("c"))
         state = materialize(state)
-    # What the stars have left: pairs of one bucket across components.
+    # What the stars have left: buckets with several components.
     open_ = state.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
     left = materialize(state.join(open_, "key", "left_semi"))
-    one, two = (left.select("key", F.col("rep").alias(s), F.col("c").alias(f"c{s}")) for s in "ab")
-    cross = one.join(two, "key").where("a < b and ca <> cb").select("a", "b").distinct()
-    cross = cross.join(tried, ["a", "b"], "left_anti")
-    links = links.unionByName(_linked(materialize(cross), classes, docs, words, percent))
+    sets = materialize(_sets(docs, left.select(F.col("rep").alias("node")).distinct(), words))
+    cross = _rare_pairs(sets, left.select(F.col("rep").alias("node"), F.col("c").alias("label")).distinct(), percent)
+    cross = materialize(cross.join(tried, ["a", "b"], "left_anti"))
+    links = links.unionByName(_linked(cross, classes, docs, words, percent, sets))
     labels = components(materialize(links))
     chosen = ids.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("label", "rep").alias("component"))
     some = sketch.where("fp is not null").select("doc_id", "n_shingles", "fp").join(chosen, F.col("fp") == F.col("f"), "left")
@@ -186,7 +290,7 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
 
     Rows that repeat a doc_id are one document and stay or go together. Rows with a null doc_id stay.
     """
-    inner = docs.withColumnsRenamed({c: f"own_{i}" for i, c in enumerate(docs.columns)})
+    inner = docs.toDF(*[f"own_{i}" for i in range(len(docs.columns))])
     own = {c: f"own_{i}" for i, c in enumerate(docs.columns)}
     slim = inner.select(F.col(own["doc_id"]).alias("doc_id"), F.col(own["text"]).alias("text"))
     found = near_duplicates(slim, words, percent)

@@ -152,6 +152,28 @@ def test_near_duplicates_odd_ids(spark):
     assert sorted((repr(r["doc_id"]), r["text"]) for r in kept.collect()) == sorted((repr(d), t) for d, t in docs if d != 9)
 
 
+@pytest.mark.parametrize("tile", [4096, 7])
+def test_rare_pairs_miss_nothing(spark, monkeypatch, tile):
+    """Crowds of altered copies, small and large: every pair over the threshold is among the candidates, and few others."""
+    monkeypatch.setattr(neardup, "TILE", tile)
+    rng = np.random.default_rng(4)
+    sets: list = []
+    for size in (3, 20, 60, 150, 400, 900, 1300):
+        base = rng.integers(0, 2**62, size)
+        spare = rng.integers(0, 2**62, size)  # alterations that several copies have
+        for _ in range(25):
+            s = set(rng.choice(base, size - int(rng.integers(0, max(1, size // 6))), replace=False).tolist())
+            s |= set(rng.choice(spare, int(rng.integers(0, max(1, size // 8))), replace=False).tolist())
+            sets.append(sorted(s))
+    rows_ = [(i, i, s, neardup.registers(np.array(s).view(np.uint64), neardup.FINE).tobytes() if len(s) > neardup.LONG else b"") for i, s in enumerate(sets)]
+    frame = spark.createDataFrame(rows_, "id long, g long, set array<long>, fine binary")
+    labels = spark.createDataFrame([(i, i) for i in range(len(sets))], "node long, label long")
+    found = {(r["a"], r["b"]) for r in neardup._rare_pairs(frame, labels, 80).collect()}
+    plain_sets = [set(s) for s in sets]
+    want = {(i, j) for j in range(len(sets)) for i in range(j) if 100 * len(plain_sets[i] & plain_sets[j]) >= 80 * len(plain_sets[i] | plain_sets[j])}
+    assert len(want) > 200 and want <= found and len(found) < 3 * len(want)
+
+
 def test_registers_estimate_similarity():
     rng = np.random.default_rng(2)
     for common, own in ((40, 10), (300, 100), (3000, 300), (5, 2)):
