@@ -39,21 +39,21 @@ def query(sql: str | None):
 
 
 c, lit = F.col, F.lit
-REVENUE = c("l_extendedprice") * (1 - c("l_discount"))
+revenue = lambda: c("l_extendedprice") * (1 - c("l_discount"))
 money = lambda x: F.round(x, 2)
 
 
 @query("SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice), 2) AS sum_base, round(sum(l_extendedprice * (1 - l_discount)), 2) AS sum_disc, round(avg(l_discount), 6) AS avg_disc, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL")
 def pricing_summary(t):
     keep = t.lineitem.where(c("l_shipdate") <= lit("1998-09-02").cast("timestamp_ntz"))
-    return keep.groupBy("l_returnflag", "l_linestatus").agg(money(F.sum("l_quantity")).alias("sum_qty"), money(F.sum("l_extendedprice")).alias("sum_base"), money(F.sum(REVENUE)).alias("sum_disc"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(lit(1)).alias("n"))
+    return keep.groupBy("l_returnflag", "l_linestatus").agg(money(F.sum("l_quantity")).alias("sum_qty"), money(F.sum("l_extendedprice")).alias("sum_base"), money(F.sum(revenue())).alias("sum_disc"), F.round(F.avg("l_discount"), 6).alias("avg_disc"), F.count(lit(1)).alias("n"))
 
 
 @query("SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN nation ON c_nationkey = n_nationkey WHERE o_orderdate >= TIMESTAMP '1994-01-01' GROUP BY n_name")
 def nation_revenue(t):
     o = t.orders.where(c("o_orderdate") >= lit("1994-01-01").cast("timestamp_ntz"))
     # The small dimension joins after the facts are reduced.
-    by = t.customer.join(o, c("c_custkey") == c("o_custkey")).join(t.lineitem, c("l_orderkey") == c("o_orderkey")).groupBy("c_nationkey").agg(F.sum(REVENUE).alias("r"))
+    by = t.customer.join(o, c("c_custkey") == c("o_custkey")).join(t.lineitem, c("l_orderkey") == c("o_orderkey")).groupBy("c_nationkey").agg(F.sum(revenue()).alias("r"))
     return by.join(t.nation, c("c_nationkey") == c("n_nationkey")).groupBy("n_name").agg(money(F.sum("r")).alias("revenue"))
 
 
@@ -391,33 +391,33 @@ def rollup(t):
 # Windows: over each customer's orders, which are few
 
 
-_W = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+_W = lambda: Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
 _OVER = "OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey"
-_PEERS, _PEERS_SQL = Window.partitionBy("o_custkey").orderBy("o_orderpriority"), "OVER (PARTITION BY o_custkey ORDER BY o_orderpriority)"
+_PEERS, _PEERS_SQL = lambda: Window.partitionBy("o_custkey").orderBy("o_orderpriority"), "OVER (PARTITION BY o_custkey ORDER BY o_orderpriority)"
 _WHOLE = Window.unboundedPreceding, Window.unboundedFollowing
 for _name, _value, _sql in (
-    ("row_number", F.row_number().over(_W), f"row_number() {_OVER})"),
-    ("rank", F.rank().over(_PEERS), f"rank() {_PEERS_SQL}"),
-    ("dense_rank", F.dense_rank().over(_PEERS), f"dense_rank() {_PEERS_SQL}"),
-    ("ntile", F.ntile(4).over(_W), f"ntile(4) {_OVER})"),
-    ("cume_dist", F.cume_dist().over(_PEERS), f"cume_dist() {_PEERS_SQL}"),
-    ("percent_rank", F.percent_rank().over(_PEERS), f"percent_rank() {_PEERS_SQL}"),
-    ("first_value", F.first_value("o_totalprice").over(_W), f"first_value(o_totalprice) {_OVER})"),
-    ("last_value", F.last_value("o_totalprice").over(_W.rowsBetween(*_WHOLE)), f"last_value(o_totalprice) {_OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
-    ("last_value_default", F.last_value("o_totalprice").over(_W), f"last_value(o_totalprice) {_OVER})"),
-    ("lag", F.lag("o_totalprice", 2, 0.0).over(_W), f"lag(o_totalprice, 2, 0) {_OVER})"),
-    ("lead", F.lead("o_totalprice").over(_W), f"lead(o_totalprice) {_OVER})"),
-    ("sum", money(F.sum("o_totalprice").over(Window.partitionBy("o_custkey"))), "round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2)"),
-    ("running", money(F.sum("o_totalprice").over(_W.rowsBetween(Window.unboundedPreceding, 0))), f"round(sum(o_totalprice) {_OVER} ROWS UNBOUNDED PRECEDING), 2)"),
-    ("frame", F.round(F.avg("o_totalprice").over(_W.rowsBetween(-1, 2)), 4), f"round(avg(o_totalprice) {_OVER} ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING), 4)"),
-    ("count", F.count(lit(1)).over(Window.partitionBy("o_custkey", "o_orderstatus")), "count(*) OVER (PARTITION BY o_custkey, o_orderstatus)"),
-    ("distinct", Q.distinct_count_over(c("o_orderstatus"), Window.partitionBy("o_custkey")), "count(DISTINCT o_orderstatus) OVER (PARTITION BY o_custkey)"),
-    ("by_name", F.call_function("row_number").over(_W), f"row_number() {_OVER})"),
-    ("share", F.round(c("o_totalprice") / F.sum("o_totalprice").over(Window.partitionBy("o_custkey")), 6), "round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 6)"),
+    ("row_number", lambda: F.row_number().over(_W()), f"row_number() {_OVER})"),
+    ("rank", lambda: F.rank().over(_PEERS()), f"rank() {_PEERS_SQL}"),
+    ("dense_rank", lambda: F.dense_rank().over(_PEERS()), f"dense_rank() {_PEERS_SQL}"),
+    ("ntile", lambda: F.ntile(4).over(_W()), f"ntile(4) {_OVER})"),
+    ("cume_dist", lambda: F.cume_dist().over(_PEERS()), f"cume_dist() {_PEERS_SQL}"),
+    ("percent_rank", lambda: F.percent_rank().over(_PEERS()), f"percent_rank() {_PEERS_SQL}"),
+    ("first_value", lambda: F.first_value("o_totalprice").over(_W()), f"first_value(o_totalprice) {_OVER})"),
+    ("last_value", lambda: F.last_value("o_totalprice").over(_W().rowsBetween(*_WHOLE)), f"last_value(o_totalprice) {_OVER} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"),
+    ("last_value_default", lambda: F.last_value("o_totalprice").over(_W()), f"last_value(o_totalprice) {_OVER})"),
+    ("lag", lambda: F.lag("o_totalprice", 2, 0.0).over(_W()), f"lag(o_totalprice, 2, 0) {_OVER})"),
+    ("lead", lambda: F.lead("o_totalprice").over(_W()), f"lead(o_totalprice) {_OVER})"),
+    ("sum", lambda: money(F.sum("o_totalprice").over(Window.partitionBy("o_custkey"))), "round(sum(o_totalprice) OVER (PARTITION BY o_custkey), 2)"),
+    ("running", lambda: money(F.sum("o_totalprice").over(_W().rowsBetween(Window.unboundedPreceding, 0))), f"round(sum(o_totalprice) {_OVER} ROWS UNBOUNDED PRECEDING), 2)"),
+    ("frame", lambda: F.round(F.avg("o_totalprice").over(_W().rowsBetween(-1, 2)), 4), f"round(avg(o_totalprice) {_OVER} ROWS BETWEEN 1 PRECEDING AND 2 FOLLOWING), 4)"),
+    ("count", lambda: F.count(lit(1)).over(Window.partitionBy("o_custkey", "o_orderstatus")), "count(*) OVER (PARTITION BY o_custkey, o_orderstatus)"),
+    ("distinct", lambda: Q.distinct_count_over(c("o_orderstatus"), Window.partitionBy("o_custkey")), "count(DISTINCT o_orderstatus) OVER (PARTITION BY o_custkey)"),
+    ("by_name", lambda: F.call_function("row_number").over(_W()), f"row_number() {_OVER})"),
+    ("share", lambda: F.round(c("o_totalprice") / F.sum("o_totalprice").over(Window.partitionBy("o_custkey")), 6), "round(o_totalprice / sum(o_totalprice) OVER (PARTITION BY o_custkey), 6)"),
 ):
 
     def _window(t, value=_value):
-        return t.orders.select("o_orderkey", value.alias("v"))
+        return t.orders.select("o_orderkey", value().alias("v"))
 
     _window.__name__ = f"window_{_name}"
     query(f"SELECT o_orderkey, {_sql} AS v FROM orders")(_window)
