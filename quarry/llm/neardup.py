@@ -18,7 +18,7 @@ from .components import components
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
 #: Rounds of comparisons with centres, each linear in the number of classes.
-ROUNDS = 2
+ROUNDS = 1
 #: Documents in crowded buckets are compared by their TOP rarest shingles, long ones by finer sketches of 2 ** FINE registers.
 FINE, TOP, SHORT, LONG = 9, 128, 1000, 800
 #: Documents with a rare shingle that a task compares at once, and rows of a group.
