@@ -3,16 +3,24 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import uuid
+from collections.abc import Iterator, Mapping
+from fractions import Fraction
+from itertools import islice
 
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quarry.session import shared_folder
+
 OUTPUT = ("mix_slot", "mix_position", "mix_deadline", "in_target")
 #: Of the generator that scrambles ids.
 MODULUS, MULTIPLIER, ADDEND = 1 << 31, 1_103_515_245, 12_345
 #: More sources than this are an error: the driver holds their counts and the schedule of a period.
 MOST_SOURCES = 10_000
+#: Blocks of a schedule that the driver holds at once, and the largest deadline (64 bits).
+AT_ONCE, LATEST = 1 << 20, (1 << 63) - 1
 
 
 def whole_shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -52,6 +60,55 @@ def schedule(shares: Mapping[str, int]) -> list[tuple[str, int, int, int]]:
     return out
 
 
+def whole_run(weights: Mapping[str, float], rows: Mapping[str, int], block: int) -> Iterator[tuple[str, int, int, int, bool]]:
+    """(source, number of its block, slot, deadline, whether all sources last) for every block, earliest deadline first.
+
+    Block j of a source of target weight w, a fraction of all weights, is released at floor((j-1)/w) and
+    due by ceil(j/w); weights count as they are, without rounding. As long as all sources last, each block
+    is placed within its window, so at any time a source is less than one block away from its target.
+    When a source is used up the others follow each other without gaps.
+    """
+    if any(not 0 < w < float("inf") for w in weights.values()):
+        raise ValueError("weights must be above 0 and finite")
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    total = sum(exact.values())
+    per = {s: (total / w).as_integer_ratio() for s, w in exact.items()}
+    last = {s: -(-rows[s] // block) for s in weights}
+    ready: list = []
+    coming = [(0, -(-per[s][0] // per[s][1]), s, 1) for s in sorted(weights)]
+    heapq.heapify(coming)
+    slot, now, lasting = 0, 0, True
+    while coming or ready:
+        if not ready:
+            now = max(now, coming[0][0])
+        while coming and coming[0][0] <= now:
+            _, due, s, j = heapq.heappop(coming)
+            heapq.heappush(ready, (due, s, j))
+        due, s, j = heapq.heappop(ready)
+        lasting = lasting and j <= rows[s] // block
+        if j > last[s]:
+            continue
+        a, b = per[s]
+        heapq.heappush(coming, (j * a // b, -(-(j + 1) * a // b), s, j + 1))
+        yield s, j, slot, min(due, LATEST), lasting
+        slot, now = slot + 1, now + 1
+
+
+def _written(spark: SparkSession, plan: Iterator, places: Mapping[str, int]) -> tuple[DataFrame, int]:
+    """``plan`` as a table in the shared folder, and how many of its slots are within the target."""
+    path, horizon = f"{shared_folder(spark)}/{uuid.uuid4().hex}", 0
+    kind = "q_s int, q_j long, q_slot long, q_due long"
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    while True:
+        part = list(islice(plan, AT_ONCE))
+        horizon += sum(x[4] for x in part)
+        columns = [[places[x[0]] for x in part], *([x[i] for x in part] for i in (1, 2, 3))]
+        table = pa.table([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=["q_s", "q_j", "q_slot", "q_due"])
+        spark.createDataFrame(table, kind).write.mode("append").parquet(path)
+        if len(part) < AT_ONCE:
+            return spark.read.schema(kind).parquet(path), horizon
+
+
 def _named(source):
     return F.coalesce(source.cast("string"), F.lit("\0none"))
 
@@ -69,18 +126,23 @@ def _range(key):
     return F.shiftright(key, 19).cast("int")
 
 
-def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, period: int = 1000, block: int = 8) -> DataFrame:
+def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, period: int | None = None, block: int = 8) -> DataFrame:
     """Every row of ``docs`` (doc_id, source, ...) with its place in the mixture.
 
     A block is ``block`` rows of a source, in a scrambled order of doc_id. ``weights`` maps sources to
-    target weights, which are rounded to ``period`` slots (or twice the number of sources, if that is more);
-    sources that it lacks, or all if it is None, weigh (their rows) ** ``power``. Columns added: mix_slot, the block's slot; mix_position, unique and
-    ascending through the mixture; mix_deadline, by which the slot had to come; in_target, whether all
-    sources last up to this slot, so that the weights hold. Rows after that point are kept too.
+    target weights; sources that it lacks, or all if it is None, weigh (their rows) ** ``power``. Columns
+    added: mix_slot, the block's slot; mix_position, unique and ascending through the mixture;
+    mix_deadline, by which the slot had to come; in_target, whether all sources last up to this slot, so
+    that the weights hold to less than one block. Rows after that point are kept too.
+
+    With a ``period`` the weights are rounded to that many slots (or twice the number of sources, if that is
+    more), one of them at least for each source, and one schedule is repeated: the deviation from the target
+    weights then grows with the number of slots.
 
     A null source is a source of its own; rows with null or repeated doc_id take neighbouring places in
     any order; an empty table stays empty; columns of ``docs`` named as the added ones are replaced.
-    The schedule of one period (``period`` rows) is all that is broadcast.
+    The schedule of a whole run is made by the driver, ``AT_ONCE`` blocks at a time, and written to the
+    shared folder; that of a period (``period`` rows) is broadcast.
     """
     spark = docs.sparkSession
     docs = docs.drop(*OUTPUT)
@@ -89,17 +151,23 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
     rows = {r["s"]: r["n"] for r in counts.limit(MOST_SOURCES + 1).collect()}
     if len(rows) > MOST_SOURCES:
         raise ValueError(f"there are more than {MOST_SOURCES} sources")
-    period = max(period, 2 * len(rows))
     given = {k if k is not None else "\0none": v for k, v in (weights or {}).items()}
-    shares = whole_shares({s: given.get(s, float(n) ** power) for s, n in rows.items()}, period)
-    plan = schedule(shares)
-    slots: dict[tuple[str, int], int] = {(s, j): slot for s, j, slot, _ in plan}
-    # The first slot whose block its source can't fill.
-    ends = [divmod(n // block, shares[s]) for s, n in rows.items()]
-    horizon = min((q * period + slots[s, r + 1] for (q, r), s in zip(ends, rows, strict=True)), default=0)
-
-    table = spark.createDataFrame([(s, j, slot, due) for s, j, slot, due in plan], "q_s string, q_j int, q_slot int, q_due int")
-    sizes = spark.createDataFrame(list(shares.items()), "r_s string, r_k int")
+    targets = {s: given.get(s, float(n) ** power) for s, n in rows.items()}
+    places = {s: i for i, s in enumerate(sorted(rows))}
+    if period is None:
+        cycles = dict.fromkeys(rows, LATEST)  # never repeated
+        period = 0
+        table, horizon = _written(spark, whole_run(targets, rows, block), places)
+    else:
+        period = max(period, 2 * len(rows))
+        cycles = whole_shares(targets, period)
+        plan = schedule(cycles)
+        slots: dict[tuple[str, int], int] = {(s, j): slot for s, j, slot, _ in plan}
+        # The first slot whose block its source can't fill.
+        ends = [divmod(n // block, cycles[s]) for s, n in rows.items()]
+        horizon = min((q * period + slots[s, r + 1] for (q, r), s in zip(ends, rows, strict=True)), default=0)
+        table = F.broadcast(spark.createDataFrame([(places[s], j, slot, due) for s, j, slot, due in plan], "q_s int, q_j long, q_slot long, q_due long"))
+    sizes = spark.createDataFrame([(s, places[s], k) for s, k in cycles.items()], "r_s string, r_i int, r_k long")
 
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
@@ -119,8 +187,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
     rank = F.col("before") + F.col("r") - 1
     ranked = ranked.select("row", "s", rank.alias("rank")).join(F.broadcast(sizes), F.col("s") == F.col("r_s"))
     number = F.floor(F.col("rank") / block)
-    ranked = ranked.select("row", "s", "rank", number.alias("number"), "r_k").withColumns({"cycle": F.floor(F.col("number") / F.col("r_k")), "j": (F.col("number") % F.col("r_k") + 1).cast("int")})
-    placed = ranked.join(F.broadcast(table), (F.col("s") == F.col("q_s")) & (F.col("j") == F.col("q_j")))
+    ranked = ranked.select("row", "r_i", "rank", number.alias("number"), "r_k").withColumns({"cycle": F.floor(F.col("number") / F.col("r_k")), "j": F.col("number") % F.col("r_k") + 1})
+    placed = ranked.join(table, (F.col("r_i") == F.col("q_s")) & (F.col("j") == F.col("q_j")))
     slot = (F.col("cycle") * period + F.col("q_slot")).cast("long")
     return placed.select(
         *[F.col("row").getField(c).alias(c) for c in names],

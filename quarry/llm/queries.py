@@ -56,7 +56,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return mixing.mix(docs)
+    return mixing.mix(docs, period=1000)  # as ORACLE_SQL has it
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

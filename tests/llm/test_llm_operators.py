@@ -435,6 +435,24 @@ def test_mixing(spark):
     assert rows(again.where("doc_id is not null and doc_id <> 3"), "doc_id", "mix_position") == rows(out.where("doc_id is not null and doc_id <> 3"), "doc_id", "mix_position")
 
 
+@pytest.mark.parametrize("at_once", [37, 1 << 20])
+def test_mixing_holds_unrounded_weights(spark, monkeypatch, at_once):
+    monkeypatch.setattr(mixing, "AT_ONCE", at_once)
+    sources = ["big"] * 1600 + [f"s{i % 99}" for i in range(4000)]
+    frame = spark.createDataFrame(list(enumerate(sources)), "doc_id long, source string")
+    got = mixing.mix(frame, {"big": 99.0} | {f"s{i}": 1.0 for i in range(99)}, block=4).collect()
+    assert len(got) == len({r["mix_position"] for r in got}) == len(sources)
+    owner = {r["mix_slot"]: (r["source"], r["in_target"]) for r in got}
+    assert all(r["mix_slot"] < r["mix_deadline"] for r in got)
+    lasting = [s for s in sorted(owner) if owner[s][1]]
+    assert lasting == list(range(len(lasting))) and len(lasting) > 700
+    target = {s: (99 if s == "big" else 1) / 198 for s in set(sources)}
+    done: Counter = Counter()
+    for slot in lasting:
+        done[owner[slot][0]] += 1
+        assert all(abs(done[s] - w * (slot + 1)) < 1 for s, w in target.items())
+
+
 def test_mixing_odd(spark):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string")).count() == 0
     many = spark.createDataFrame([(i, f"s{i}") for i in range(1500)], "doc_id long, source string")
