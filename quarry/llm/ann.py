@@ -54,10 +54,11 @@ def search(vectors: DataFrame, queries, k: int = 20, tables: int = 12, probes: i
     """query_id, rank, vec_id, score: the ``k`` nearest rows found for each row for which ``queries`` (a column) is true.
 
     Nearness is the inner product in double precision; ties go to the smaller vec_id; a query isn't its
-    own neighbour. Vectors are scaled to at most unit length and given one more component that makes them
-    unit vectors, so that the largest inner product is the smallest angle. In each of ``tables`` tables a
-    vector is in the cell of its nearest signed axis after a pseudo-random rotation, and a query visits its
-    ``probes`` nearest cells; all vectors met there are scored exactly. Every vector is indexed.
+    own neighbour. Vectors are parted by norm, half an octave to each part. In a part they are scaled by its
+    largest norm and given one more component that makes them unit vectors, so that the largest inner
+    product is the smallest angle. In each of ``tables`` tables a vector is in the cell of its nearest signed
+    axis after a pseudo-random rotation, and a query visits its ``probes`` nearest cells of every part, or
+    three of 32 if there are many; all vectors met there are scored exactly. Every vector is indexed.
 
     Equal vectors are one entry with its k+1 smallest ids, all that can be in a result. Cells with many
     vectors or queries are split into tiles, each with some of either.
@@ -75,35 +76,40 @@ def search(vectors: DataFrame, queries, k: int = 20, tables: int = 12, probes: i
     same = Window.partitionBy("key", "vec").orderBy("vec_id")
     entries = usable.withColumn("key", F.xxhash64("vec")).withColumn("r", F.row_number().over(same)).where(F.col("r") <= k + 1)
     entries = materialize(entries.groupBy("key", "vec").agg(F.min("vec_id").alias("entry"), F.sort_array(F.collect_list("vec_id")).alias("ids")))
-    largest = entries.agg(F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).alias("m")).first()["m"] or 1.0
+    # Parts by norm: 4096 at most, as doubles go; unit vectors are in the middle of one.
+    norm = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))
+    octave = F.floor(2 * F.log2(F.greatest(F.least(norm, F.lit(1e300)), F.lit(1e-300))) + 0.5).cast("int")
+    largest = {r["o"]: r["m"] for r in entries.groupBy(octave.alias("o")).agg(F.max(norm).alias("m")).collect()}
     width = 1 << d.bit_length()  # holds d + 1
+    probes = max(probes, 2 * width * 3 // 32)
     rng = np.random.default_rng(seed)
     signs = rng.choice([-1.0, 1.0], (tables, 3, width))
 
-    def unit(x: np.ndarray, query: bool) -> np.ndarray:
-        x = x / (np.linalg.norm(x, axis=1, keepdims=True) if query else largest)
+    def unit(x: np.ndarray, part: np.ndarray, query: bool) -> np.ndarray:
+        x = x / (np.linalg.norm(x, axis=1) if query else np.array([largest[o] or 1.0 for o in part.tolist()]))[:, None]
         rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, 1 - (x * x).sum(1)))
         return np.concatenate([x, rest[:, None]], 1)
 
     def hashed(batches, query: bool):
         for b in batches:
-            x = unit(_matrix(b.column("vec")), query)
+            x = unit(_matrix(b.column("vec")), b.column("part").to_numpy(), query)
             cell = np.concatenate([axes(x, s, probes if query else 1) + 2 * width * t for t, s in enumerate(signs)], 1)
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), pa.array(list(cell.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "vec", "cells"])
-
-    kind = "id long, vec array<double>, cells array<int>"
-    index = entries.select(F.col("entry").alias("id"), "vec").mapInArrow(lambda it: hashed(it, False), kind)
-    asked = usable.where("q").select(F.col("vec_id").alias("id"), "vec").distinct().mapInArrow(lambda it: hashed(it, True), kind)
-    index, asked = materialize(index), materialize(asked)
-    # How many tiles each cell needs, either way: tables x cells rows at most.
-    count = lambda df, c: df.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias(c))
-    sizes = count(index, "n").join(count(asked, "m"), "cell").select("cell", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("across"), F.ceil(F.col("m") / CELL_QUERIES).cast("int").alias("down"))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("vec"), b.column("part"), pa.array(list(cell.astype(np.int32)), pa.list_(pa.int32()))], names=["id", "vec", "part", "cells"])
+
+    kind = "id long, vec array<double>, part int, cells array<int>"
+    index = entries.select(F.col("entry").alias("id"), "vec", octave.alias("part")).mapInArrow(lambda it: hashed(it, False), kind)
+    asked = usable.where("q").select(F.col("vec_id").alias("id"), "vec", F.lit(0).alias("part")).distinct().mapInArrow(lambda it: hashed(it, True), kind)
+    index, asked = materialize(index), materialize(asked).drop("part")  # a query is in all parts
+    # How many tiles each cell needs, either way: tables x cells x parts rows at most.
+    count = lambda df, c, *by: df.select(F.explode("cells").alias("cell"), *by).groupBy("cell", *by).agg(F.count(F.lit(1)).alias(c))
+    sizes = count(index, "n", "part").join(count(asked, "m"), "cell").select("cell", "part", F.ceil(F.col("n") / CELL_ROWS).cast("int").alias("across"), F.ceil(F.col("m") / CELL_QUERIES).cast("int").alias("down"))
     tiles = F.broadcast(materialize(sizes))
 
     def dealt(df, own: str, other: str):
-        rows = df.select("id", "vec", F.explode("cells").alias("cell")).join(tiles, "cell")
+        by = [c for c in ("part",) if c in df.columns]
+        rows = df.select("id", "vec", *by, F.explode("cells").alias("cell")).join(tiles, ["cell", *by])
         mine = F.pmod(F.xxhash64("id", "vec"), F.col(own)).cast("int")
-        return rows.select("id", "vec", "cell", mine.alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
+        return rows.select("id", "vec", "cell", "part", mine.alias(own), F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias(other))
 
     def best(key, left: pa.Table, right: pa.Table) -> pa.Table:
         """Of one tile, each query's best k+1 entries."""
@@ -124,7 +130,7 @@ def search(vectors: DataFrame, queries, k: int = 20, tables: int = 12, probes: i
         c = [np.concatenate(o) if o else np.zeros(0) for o in out]
         return pa.table({"query_id": pa.array(c[0].astype(np.int64)), "entry": pa.array(c[1].astype(np.int64)), "score": pa.array(c[2])})
 
-    key = ["cell", "across", "down"]
+    key = ["cell", "part", "across", "down"]
     found = dealt(asked, "down", "across").groupBy(key).cogroup(dealt(index, "across", "down").groupBy(key)).applyInArrow(best, "query_id long, entry long, score double").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry")
     found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)

@@ -115,6 +115,28 @@ def test_nearest_neighbours(spark):
     assert rows(ann.search(few, lambda c: c % 20 == 0, 20), "query_id", "rank", "vec_id", "score") == [(20, 1, 2, 1.0), (20, 2, 1, 0.0)]
 
 
+def _recall(spark, x):
+    """Of the 20 nearest of every 20th row of ``x``."""
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for q, i in rows(ann.search(frame, lambda c: c % 20 == 0, 20), "query_id", "vec_id"):
+        got.setdefault(q, set()).add(i)
+    queries = range(0, len(x), 20)
+    return sum(len(set([i for i in np.argsort(-(x @ x[q])) if i != q][:20]) & got.get(q, set())) for q in queries) / (20 * len(queries))
+
+
+@pytest.mark.parametrize("norms", ["one longer", "log-normal"])
+def test_nearest_neighbours_of_unequal_norms(spark, norms):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(20, 64))[rng.integers(0, 20, 2000)] + 0.5 * rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if norms == "one longer":
+        x[7] *= 20
+    else:
+        x *= rng.lognormal(0, 1, (2000, 1))
+    assert _recall(spark, x) >= 0.95
+
+
 # 3: near duplicates
 
 
