@@ -60,6 +60,9 @@ def search(vectors: DataFrame, queries, k: int = 20, tables: int = 12, probes: i
     axis after a pseudo-random rotation, and a query visits its ``probes`` nearest cells of every part, or
     three of 32 if there are many; all vectors met there are scored exactly. Every vector is indexed.
 
+    A query that meets fewer than ``k`` rows so is scored against all entries, in tiles: it gets ``k`` rows,
+    or all candidates if there are fewer.
+
     Equal vectors are one entry with its k+1 smallest ids, all that can be in a result. Cells with many
     vectors or queries are split into tiles, each with some of either.
 
@@ -132,8 +135,23 @@ def search(vectors: DataFrame, queries, k: int = 20, tables: int = 12, probes: i
 
     key = ["cell", "part", "across", "down"]
     found = dealt(asked, "down", "across").groupBy(key).cogroup(dealt(index, "across", "down").groupBy(key)).applyInArrow(best, "query_id long, entry long, score double").distinct()
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry")
-    found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
-    members = found.join(entries.select("entry", "ids"), "entry").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id").distinct()
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry")
+        found = found.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+        members = found.join(entries.select("entry", "ids"), "entry").select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id").distinct()
+        order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        return members.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    met = materialize(ranked(found))
+    full = met.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select(F.col("query_id").alias("id"))
+    short = materialize(asked.select("id", "vec").join(full, "id", "left_anti"))
+    if not (m := short.count()):
+        return met
+    across, down = -(-entries.count() // CELL_ROWS), -(-m // CELL_QUERIES)
+    tile = lambda n: F.pmod(F.xxhash64("id", "vec"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = short.select("id", "vec", tile(down).alias("down"), every(across).alias("across"))
+    right = index.select("id", "vec", tile(across).alias("across"), every(down).alias("down"))
+    scanned = left.groupBy("across", "down").cogroup(right.groupBy("across", "down")).applyInArrow(best, "query_id long, entry long, score double").distinct()
+    return met.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(ranked(scanned))

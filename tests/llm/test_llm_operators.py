@@ -137,6 +137,15 @@ def test_nearest_neighbours_of_unequal_norms(spark, norms):
     assert _recall(spark, x) >= 0.95
 
 
+def test_nearest_neighbours_of_few_unrelated_vectors(spark):
+    x = np.random.default_rng(5).normal(size=(21, 64))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for n, k in ((21, 20), (10, 20)):
+        found = rows(ann.search(frame.where(F.col("vec_id") < n), lambda c: c % 5 == 0, k), "query_id", "rank", "vec_id")
+        want = [(q, r + 1, i) for q in range(0, n, 5) for r, i in enumerate([i for i in np.argsort(-(x[:n] @ x[q])).tolist() if i != q])]
+        assert sorted(found) == want
+
+
 # 3: near duplicates
 
 
