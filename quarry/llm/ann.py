@@ -120,11 +120,14 @@ def search(vectors: DataFrame, queries, k: int = 20, tables: int = 12, probes: i
         if left.num_rows and right.num_rows:
             q, x = (_matrix(t["vec"].combine_chunks()) for t in (left, right))
             qid, xid = left["id"].to_numpy(), right["id"].to_numpy()
+            longest = np.linalg.norm(x, axis=1).max()
             for i in range(0, len(q), AT_ONCE):
                 s = q[i : i + AT_ONCE] @ x.T
-                most = min(k + 9, len(x))
-                near = np.argpartition(-s, most - 1, 1)[:, :most]
-                for j, at in enumerate(near):
+                # All that may be among the best k+1, ties too: the products' rounding is less than the margin.
+                least = np.partition(s, max(0, len(x) - k - 1), 1)[:, max(0, len(x) - k - 1)]
+                margin = 4 * x.shape[1] * np.finfo(float).eps * np.linalg.norm(q[i : i + AT_ONCE], axis=1) * longest
+                near = ~(s < (least - margin)[:, None])
+                for j, at in enumerate(map(np.flatnonzero, near)):
                     exact = (x[at] * q[i + j]).sum(1)  # the same whatever the tile
                     order = np.lexsort((xid[at], -exact))[: k + 1]
                     out[0].append(np.full(len(order), qid[i + j]))

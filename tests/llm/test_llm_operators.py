@@ -146,6 +146,13 @@ def test_nearest_neighbours_of_few_unrelated_vectors(spark):
         assert sorted(found) == want
 
 
+def test_nearest_neighbours_ties_go_to_smaller_ids(spark):
+    ones = [(1000 - i, [1.0, i * 1e-6]) for i in range(1, 200)]  # distinct, all of the same product
+    frame = spark.createDataFrame([(0, [1.0, 0.0]), *ones], "vec_id long, embedding array<double>")
+    found = rows(ann.search(frame, lambda c: c == 0, 20), "rank", "vec_id", "score")
+    assert sorted(found) == [(r + 1, 801 + r, 1.0) for r in range(20)]
+
+
 # 3: near duplicates
 
 
