@@ -37,10 +37,15 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: lineage ends, executors may be lost."""
+    """Write ``df`` as a table in the shared folder and read it back: lineage ends, executors may be lost.
+
+    The table goes when the application ends, if nothing discards it before.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -63,6 +68,19 @@ def shards(spark: SparkSession, least: int = 16) -> int:
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def sized_shards(docs: DataFrame, column: str, each: int, least: int = 16, most: int | None = None) -> int:
+    """Number of key ranges: one for each ``each`` bytes of text in all rows, which are read for it."""
+    total = docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
+    return min(max(least, -(-total // each)), most or 1 << 30)
+
+
+def spread(df: DataFrame, shard: str, load: Column, by: Column, task: int) -> DataFrame:
+    """``df`` and salt: rows of a shard with a load of more than ``task`` are split over several by a hash."""
+    heavy = df.groupBy(F.col(shard).alias("s")).agg(F.ceil(F.sum(load) / task).alias("parts")).where("parts > 1")
+    found = df.join(F.broadcast(heavy), F.col(shard) == F.col("s"), "left")  # at most one row a shard
+    return found.withColumn("salt", F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1))).cast("int")).drop("s", "parts")
+
+
 def id_filter(ids: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
     """A bitmap over hashed ids, always ``bits`` wide however many ids there are.
 

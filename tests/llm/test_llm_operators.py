@@ -83,6 +83,21 @@ def test_token_counts_are_the_librarys(spark, docs):
     assert rows(tokens.count_tokens(framed(spark, EMPTY), path), "*") == []
 
 
+def test_token_counts_of_odd_texts_with_split_ranges(spark, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "GATHER", 2000)
+    monkeypatch.setattr(tokens, "TASK", 500)
+    rng = random.Random(3)
+    signs = [*"abAB zZ  019.,;:<>|'\"!?-_%@\x00\x1c\x85\xa0\t\n", "é", "É", "×", "÷", "ß", "\u0301", "\u0338", "ﬁ", "İ", "ſ", "日", "½", "’", "…", "<|endoftext|>", "<|ENDOFTEXT|>", "'s", "'re", "'LL"]
+    some = [(i, "".join(rng.choices(signs, k=rng.randint(0, 40)))) for i in range(1000)]
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    want = [(d, len(tok.encode(t, add_special_tokens=False).ids)) for d, t in some]
+    assert rows(tokens.count_tokens(framed(spark, some), path), "doc_id", "n_tokens") == sorted(want, key=repr)
+
+
 # 2: nearest neighbours
 
 
