@@ -38,7 +38,7 @@ def give_back() -> None:
         trim(0)
 
 
-def pieces(batches: Iterator[pa.RecordBatch], column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterator[pa.RecordBatch], column: str | int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of the batches with at most ``most`` bytes of text, or one row."""
     for b in batches:
         if not b.num_rows:

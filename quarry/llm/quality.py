@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import bounded_batches, sampled
+from ._words import pieces
 
 #: Bytes that are compressed at a time, so that a long text doesn't become its own dictionary.
 BLOCK = 2048
@@ -58,6 +59,8 @@ def _dictionary(texts: list[bytes], size: int) -> bytes:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Bias and slope of the log odds; weights count relative to their mean, so the ridge's share depends on no total."""
+    weight = weight / (weight.mean() or 1.0)
     scale = x.std() or 1.0
     a = np.stack([np.ones_like(x), x / scale], 1)
     w = np.zeros(2)
@@ -75,24 +78,27 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 def fit(docs: DataFrame, labels: DataFrame, learn, per_class: int = 1500, longest: int = 65536, size: int = 65536) -> QualityModel:
     """Learn from labels(doc_id, quality) with ``learn`` true of the doc_id column.
 
-    At most about ``per_class`` labelled texts of each class are fetched, picked by a hash of doc_id,
-    and only texts up to ``longest`` bytes; that bounds the driver's memory whatever the tables hold.
+    About ``per_class`` labelled texts of each class are fetched (twice as many at most), picked by a hash
+    of doc_id, and only texts up to ``longest`` bytes; that bounds the driver's memory whatever the tables
+    hold. Where labels repeat a doc_id, each counts; a null doc_id, or a label but 0 and 1, teaches nothing.
     Two thirds of them make the dictionaries, the rest the calibration, weighted by the classes' true
     shares among all labels that may be learnt from. Without texts of both classes, every score is the
     share of class 1 (0.5 without labels).
     """
     marked = labels.select(F.col("doc_id").alias("doc_id"), F.col("quality").cast("int").alias("y")).where(F.col("y").isin(0, 1) & learn(F.col("doc_id")))
-    total = {r["y"]: r["n"] for r in marked.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    own = marked.groupBy("y", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    tally = {r["y"]: r for r in own.groupBy("y").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("ids")).collect()}
+    total, ids_of = ({y: r[c] for y, r in tally.items()} for c in ("n", "ids"))
     picked: dict[int, list[int]] = {}
     for y in (0, 1):
-        rows = marked.where((F.col("y") == y) & sampled("doc_id", per_class, total.get(y, 0))).select("doc_id").distinct().limit(2 * per_class).collect()
+        rows = marked.where((F.col("y") == y) & sampled("doc_id", per_class, ids_of.get(y, 0))).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * per_class).collect()
         for r in rows:
             picked.setdefault(r["doc_id"], []).append(y)
     texts: tuple[list, list] = ([], [])
     if picked:
         ids = docs.sparkSession.createDataFrame([(k,) for k in picked], "doc_id long")
         found = docs.select("doc_id", "text").where(F.octet_length("text").between(1, longest)).join(F.broadcast(ids), "doc_id", "left_semi")
-        for r in sorted(found.limit(4 * per_class).collect()):
+        for r in sorted(found.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(4 * per_class).collect()):
             for y in picked[r["doc_id"]]:
                 texts[y].append(r["text"].encode("utf-8", "replace"))
     n = [total.get(0, 0), total.get(1, 0)]
@@ -104,32 +110,40 @@ def fit(docs: DataFrame, labels: DataFrame, learn, per_class: int = 1500, longes
     x = np.array([difference(model, t) for y in (0, 1) for t in rest[y]])
     y = np.repeat([0.0, 1.0], [len(rest[0]), len(rest[1])])
     share = np.repeat([n[0] / len(rest[0]), n[1] / len(rest[1])], [len(rest[0]), len(rest[1])])
-    bias, slope = _logistic(x, y, share * len(x) / share.sum() / share.mean() if share.sum() else np.ones_like(x))
+    bias, slope = _logistic(x, y, share)
     return QualityModel(model.good, model.bad, bias, slope)
 
 
+def _scores(model: QualityModel, col: pa.Array) -> np.ndarray:
+    z = [model.bias + model.slope * difference(model, t or b"") for t in col.cast(pa.binary()).to_pylist()]
+    return 1 / (1 + np.exp(-np.clip(np.array(z, float), -30, 30)))
+
+
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:
     """doc_id and score (0 to 1; higher: label 1 likelier) for every row; null and empty texts have no
-    size difference and get the score at 0. Nothing is shuffled; other columns are ignored."""
+    size difference and get the score at 0. Rows repeat as they come, equal texts score alike, and an empty
+    table stays empty. Nothing is shuffled; other columns are ignored."""
     bounded_batches(docs.sparkSession)
 
     def run(batches):
-        for b in batches:
-            z = [model.bias + model.slope * difference(model, t or b"") for t in b.column("text").cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))), pa.float64())], names=["doc_id", "score"])
+        for b in pieces(batches, "text"):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id").cast(pa.int64()), pa.array(_scores(model, b.column("text")))], names=["doc_id", "score"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
 
 def keep_good(docs: DataFrame, model: QualityModel, threshold: float = 0.3) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more."""
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more.
+
+    Null and empty texts go or stay by the score without a size difference; rows that repeat go or stay
+    together; an empty table stays empty; further columns may have any names but text's.
+    """
     bounded_batches(docs.sparkSession)
     names = docs.columns
     at = names.index("text")
 
     def run(batches):
-        for b in batches:
-            z = [model.bias + model.slope * difference(model, t or b"") for t in b.column(at).cast(pa.binary()).to_pylist()]
-            yield b.filter(pa.array(1 / (1 + np.exp(-np.clip(z, -30, 30))) >= threshold, pa.bool_()))
+        for b in pieces(batches, at):
+            yield b.filter(pa.array(_scores(model, b.column(at)) >= threshold))
 
     return docs.mapInArrow(run, docs.schema)

@@ -421,6 +421,55 @@ def test_quality(spark):
     assert quality.score(framed(spark, EMPTY), model).count() == 0
 
 
+def test_quality_calibration_does_not_depend_on_the_number_of_labels():
+    rng = np.random.default_rng(2)
+    y = np.repeat([0.0, 1.0], [300, 700])
+    x = rng.normal(0.02 * (2 * y - 1), 0.015)
+    weight = np.where(y == 1, 2.0, 0.5)
+    bias, slope = quality._logistic(x, y, weight)
+    for times in (1e-3, 1e3, 1e9):
+        assert np.allclose(quality._logistic(x, y, weight * times), (bias, slope))
+    # A plain maximum of the weighted likelihood, by small steps from there.
+    loss = lambda b, s: (weight * np.logaddexp(0, np.where(y == 1, -1, 1) * (b + s * x))).sum()
+    best = loss(bias, slope)
+    assert all(best < loss(bias + b, slope + s) + 0.05 for b in (-0.1, 0, 0.1) for s in (-5, 0, 5))
+    assert np.mean((1 / (1 + np.exp(-(bias + slope * x))) > 0.5) == y) > 0.85
+
+
+def test_quality_scores_are_alike_when_labels_are_repeated(spark):
+    rng = random.Random(8)
+    docs = [(i, " ".join(rng.choice(["plain", "even", "prose", "of", "a", "book"] if i % 2 else ["win", "cash", "now", "!!", "click", "a"]) for _ in range(30))) for i in range(120)]
+    frame = framed(spark, docs)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(120)], "doc_id long, quality int")
+    many = labels.crossJoin(spark.range(1000)).select("doc_id", "quality")
+    one, other = (quality.fit(frame, x, lambda c: F.lit(True)) for x in (labels, many))
+    assert np.isclose(one.slope, other.slope, rtol=0.02) and np.isclose(one.bias, other.bias, atol=0.05)
+
+
+def test_quality_difference_is_that_of_plain_compression(spark):
+    import zstandard
+
+    rng = random.Random(4)
+    parts = [[" ".join(rng.choice(w) for _ in range(30)) for _ in range(60)] for w in (["alpha", "beta", "gamma"], ["rho", "sigma", "tau"])]
+    good, bad = (quality._dictionary([t.encode() for t in p], 4096) for p in parts)
+    model = quality.QualityModel(good, bad, 0.3, 7.0)
+    texts = ["", "alpha beta gamma " * 3, "rho sigma tau " * 3, "neither of them", "alpha rho " * 3000, "é" * 5000]
+
+    def plain_score(t):
+        raw, sizes = t.encode(), []
+        for d in (good, bad):
+            c = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_dict_id=False)
+            sizes.append(sum(len(c.compress(raw[i : i + 2048])) for i in range(0, len(raw), 2048)))
+        return 1 / (1 + math.exp(-(0.3 + 7.0 * ((sizes[1] - sizes[0]) / sum(sizes) if raw else 0.0))))
+
+    rows_ = [*enumerate(texts), (1, texts[1]), (None, None)]
+    wide = framed(spark, rows_).withColumns({"score": F.lit("x"), "model": F.lit(1)})
+    got = sorted((r["doc_id"], r["score"]) for r in quality.score(wide, model).collect() if r["doc_id"] is not None)
+    assert np.allclose([s for _, s in got], [plain_score(texts[d]) for d, _ in got])
+    kept = quality.keep_good(wide, model, 0.6)
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(d for d, t in rows_ if d is not None and plain_score(t) >= 0.6)
+
+
 def test_language_id(spark):
     rng = random.Random(9)
     vocab = {k: ["".join(rng.choice(letters) for _ in range(rng.randrange(2, 8))) for _ in range(80)] for k, letters in (("aa", "abcdeé"), ("bb", "abcdfgh"), ("cc", "nopqrst"))}
