@@ -389,6 +389,45 @@ def test_segmentation_is_the_best_one():
         assert math.isclose(pii._forward(model, cuts, arcs)[-1], np.logaddexp.reduce([s for s, _ in found]), abs_tol=1e-9)
 
 
+def test_lattice_holds_every_segment():
+    """The ends that are tried against all ends within reach."""
+    rng = random.Random(5)
+    for _ in range(300):
+        text = "".join(rng.choices([*"0123456789" * 2, *" .()+-@_a%", "\n", "x9", "4111 1111 1111 1111", "1.2.3.4", "a.b@c.de", "+44 20 7946 0958"], k=rng.randint(1, 40)))
+        cuts, arcs = pii._lattice(text, 0, len(text))
+        assert cuts == [0, *(m.end() for m in pii._TOKEN.finditer(text))]
+        for j in range(1, len(cuts)):
+            want = []
+            for i in range(max(0, j - 2 * pii.LONGEST), j):
+                if text[cuts[i]] in pii._LOCAL or text[cuts[i]] == "(":
+                    want += [(i, t, f) for t, kind in enumerate(pii.TYPES) if (kind != "secret" or j == i + 1) and (f := pii.features(text, cuts[i], cuts[j], kind))]
+            assert arcs[j] == want
+
+
+def test_training_parts_have_the_whole_likelihood():
+    model = pii.train(PERSONAL[:6])
+    for text in [*PERSONAL, "1 2 3 +1 415 555 2671 and 7 8 10.0.0.1 9", "5 " * 500 + "4111 1111 1111 1111" + " 6" * 500]:
+        cuts, arcs = pii._lattice(text, 0, len(text))
+        total = 0.0
+        for x, y in pii._parts(cuts, arcs):
+            own = [[(i - x, t, f) for i, t, f in s] for s in arcs[x : y + 1]]
+            own[0] = []
+            assert all(i >= 0 for s in own for i, *_ in s)
+            total += pii._forward(model, cuts[x : y + 1], own)[-1]
+        assert math.isclose(total, pii._forward(model, cuts, arcs)[-1], abs_tol=1e-6)
+
+
+def test_personal_data_in_long_texts_of_numbers():
+    model = pii.train(PERSONAL[:6])
+    rng = random.Random(1)
+    text = " ".join(str(rng.randrange(10 ** rng.randint(1, 9))) for _ in range(20_000))
+    base, more = pii.find(text, model)
+    assert base == pii.base_spans(text)
+    # The segmentation of an island doesn't depend on what is far away.
+    early = pii.find(text[:3000], model)[1]
+    assert [s for s in more if s[2] < 2500] == [s for s in early if s[2] < 2500]
+
+
 def test_redaction(spark):
     docs = [(1, "write to a.b@c.org now"), (2, None), (3, ""), (4, "nothing 1 here"), (None, "+44 20 7946 0958")]
     frame = framed(spark, docs)
