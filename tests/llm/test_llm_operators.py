@@ -525,6 +525,48 @@ def test_language_id(spark):
     assert {r["lang_pred"] for r in langid.predict(frame, langid.fit(empty, lambda c: F.lit(True))).collect()} == {"und"}
 
 
+def test_language_of_short_texts(spark):
+    words_ = {"aa": ["the", "of", "and", "is", "a"], "bb": ["ja", "und", "nein", "ist", "zu"], "cc": ["oui", "les", "et", "à", "est"]}
+    rng = random.Random(2)
+    docs = [(i, " ".join(rng.choices(words_[k], k=8)), k) for i, k in enumerate(["aa", "bb", "cc"] * 40)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.fit(frame, lambda c: F.lit(True))
+    short = [(i, t, k) for i, (t, k) in enumerate((w, k) for k, ws in words_.items() for w in [*ws, f"  {ws[1]}!", f"{ws[0]}."])]
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(framed(spark, [(i, t) for i, t, _ in short]), model).collect()}
+    assert got == {i: k for i, _, k in short}
+
+
+def test_language_against_plain_counts(spark):
+    """Grams by slicing, and each one's languages bit by bit."""
+    rng = random.Random(4)
+    docs = [(i, " ".join("".join(rng.choices("abcé" if i % 2 else "xyzñ", k=rng.randint(1, 6))) for _ in range(20)), "ab"[i % 2]) for i in range(60)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = langid.fit(frame, lambda c: c < 40)
+    texts = [t for _, t, _ in docs] + ["", None, "a", "é", "..x", "ab 12 ÉA-x", "zz\n\nz", "abcé " * 5000, "xyz", "日本"]
+    texts += texts[:3]
+
+    def grams(t):
+        low = "".join(c if ord(c) > 127 or c.isalpha() else " " for c in (t or "").lower())
+        raw = b" " + b" ".join(low.encode().split(b" ")) + b" "
+        while b"  " in raw:
+            raw = raw.replace(b"  ", b" ")
+        out = [raw[i : i + 5] for i in range(len(raw) - 4)]
+        return out + [b" " + w + b" " for w in raw.split() if len(w) < 3]
+
+    def held(g, i):
+        slots = langid._slots(np.array([int.from_bytes(g, "little")], np.uint64))
+        return all(int(model.planes[0, s[0]]) >> i & 1 for s in slots)
+
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.predict(framed(spark, list(enumerate(texts))).withColumn("lang", F.lit(3)), model).collect()}
+    for k, t in enumerate(texts):
+        if not t:
+            assert got[k] == "und"
+            continue
+        g = grams(t)
+        hits = [max(0.0, (sum(held(x, i) for x in g) - fp * len(g)) / (1 - fp + 1e-9)) for i, fp in enumerate(model.false_rate)]
+        assert got[k] == model.names[int(np.argmax(hits))], t
+
+
 def test_language_filters_hold_what_was_learnt():
     """No n-gram learnt is ever missed, and the fill says how often others seem present."""
     rng = np.random.default_rng(3)
@@ -628,3 +670,26 @@ def test_substring_crowded(spark):
         assert rows(found, "doc_id", "n_words", "n_removed", "kept_sha256") == want
     finally:
         substring.TASK = old
+
+
+def test_substring_tells_windows_of_one_key_apart(spark, docs, monkeypatch):
+    class Narrow(substring.Piece):
+        """Windows have one of four keys."""
+
+        def keys(self, length):
+            return substring.Piece.keys(self, length) & np.uint64(3 << 62)
+
+    monkeypatch.setattr(substring, "Piece", Narrow)
+    some = docs[:60]
+    found = substring.remove_repeats(framed(spark, some), 13)
+    assert rows(found, "doc_id", "n_words", "n_removed", "kept_sha256") == sorted(plain.substring(some, 13), key=repr)
+
+
+def test_found_at_equal_keys():
+    rng = np.random.default_rng(3)
+    pairs = np.unique(rng.integers(0, 6, (200, 2)).astype(np.uint64), axis=0)
+    known, check = pairs.T
+    k, c = rng.integers(0, 8, (2, 500)).astype(np.uint64)
+    at = substring.found_at(known, check, k, c)
+    where = {tuple(p): i for i, p in enumerate(pairs.tolist())}
+    assert at.tolist() == [where.get((x, y), -1) for x, y in zip(k.tolist(), c.tolist(), strict=True)]
