@@ -9,12 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches, materialize, shards
-from ._words import K3, SPACED, U, mix, pack, pieces, unpack, word_hashes
+from ._spark import bounded_batches, materialize, sized_shards
+from ._words import K3, SPACED, U, give_back, mix, pack, pieces, unpack, word_hashes
 from .substring import _deal
 
 #: Text that makes a batch. A batch's distinct words and word pairs are sent out once and their counts come back.
 GATHER = 8 << 20
+#: Text for each key range: packed, its words and pairs take about 1.5 times as much.
+RANGE = 8 << 20
 START, END = (mix(np.array([x], U))[0] for x in (0x5354415254, 0x454E44))
 BUCKETS, STEPS, LOWEST = 48, 4, -200
 UNIGRAM, BIGRAM = 0, 1
@@ -102,6 +104,7 @@ def _counted(batches: DataFrame, n: int) -> DataFrame:
                     keys, count = keys[order], count[order]
                     out += [(s, kind, r["batch"], r["dev"], pack(keys[p], count[p])) for s, p in _deal(keys, n)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["shard", "kind", "batch", "dev", "blob"])
+                give_back()
 
     def count(table: pa.Table) -> pa.Table:
         kind = table["kind"][0].as_py()
@@ -123,6 +126,7 @@ def _counted(batches: DataFrame, n: int) -> DataFrame:
         tokens = [int(every.sum()) * uni, int(less.sum()) * uni, int((every > 0).sum()) * uni]
         rows = table.num_rows
         first = lambda v: pa.array([v] + [0] * (rows - 1), pa.int64())
+        give_back()
         return pa.table({"batch": table["batch"], "kind": table["kind"], "shard": table["shard"], "blob": pa.array(blobs, pa.binary()), "tokens": first(tokens[0]), "rest": first(tokens[1]), "words": first(tokens[2])})
 
     dealt = batches.mapInArrow(run, "shard int, kind int, batch long, dev boolean, blob binary")
@@ -184,14 +188,15 @@ def score(docs: DataFrame, held: Column, dev: Column) -> DataFrame:
     without them (probabilities rounded to quarter powers of two); then all learnt rows are counted.
 
     No count is broadcast: each batch of about 8 MB of text sends the distinct words and pairs it holds,
-    by key, meets the sums of all batches there, and gets its own back. Keys are 64-bit hashes.
+    by key, meets the sums of all batches there, and gets its own back. Keys are 64-bit hashes. The number of
+    key ranges follows the size of the texts, so that none outgrows a task.
 
     A null, empty or blank text is one end token. A null doc_id is kept as null. Rows repeat as they come and
     are counted each time. With nothing learnt from, N and V are 0. Other columns are ignored.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    n = shards(spark)
+    n = sized_shards(docs, "text", RANGE)
     batches = materialize(_batches(docs, held, dev))
     counted = materialize(_counted(batches, n))
     r = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "rest", "words")]).first()
@@ -204,6 +209,7 @@ def score(docs: DataFrame, held: Column, dev: Column) -> DataFrame:
         context = _before(x, one, float(tally["b"]))
         logs = [np.where(p > 0, np.maximum(LOWEST + 1, np.round(STEPS * np.log2(np.maximum(p, 1e-300)))), LOWEST).astype(np.int64) for p in (two / np.maximum(context, 1), one / max(rest, 1))]
         code, times = np.unique((_bucket(context) << 24) | ((logs[0] - LOWEST) << 12) | (logs[1] - LOWEST), return_counts=True)
+        give_back()
         return pa.table({"code": code, "n": times.astype(np.int64)})
 
     some = batches.where("dev")
@@ -221,6 +227,7 @@ def score(docs: DataFrame, held: Column, dev: Column) -> DataFrame:
         p = w[:, 0] * two / np.maximum(context, 1) + w[:, 1] * one / max(tokens, 1) + w[:, 2] / (words + 1)
         total = lambda v: np.add.reduceat(v, x.first[:-1])
         size = np.diff(x.first)
+        give_back()
         base = total(np.log10(one + 1)) - size * np.log10(tokens + words + 1)
         return pa.table(
             {"doc_id": pa.array(x.doc, mask=x.null), "held_out": pa.array(x.held), "n_tokens": pa.array(size, pa.int64()), "n_known": pa.array(total((one > 0).astype(np.int64)), pa.int64()), "train_tokens": pa.array(np.full(len(size), tokens), pa.int64()), "base_score": pa.array(base, pa.float64()), "score": pa.array(total(np.log10(p)), pa.float64())}
