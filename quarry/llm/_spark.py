@@ -36,17 +36,20 @@ def bounded_batches(spark: SparkSession) -> None:
         spark.conf.set(key, "1000")
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def materialize(df: DataFrame, made: list[DataFrame] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends, executors may be lost.
 
-    The table goes when the application ends, if nothing discards it before.
+    The table goes when the application ends, if nothing discards it before; it is added to ``made``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     own = spark._jvm.org.apache.hadoop.fs.Path(path)
     own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if made is not None:
+        made.append(out)
+    return out
 
 
 def discard(df: DataFrame) -> None:
@@ -63,11 +66,6 @@ def sampled(column: str, wanted: int, total: int) -> Column:
     return part < F.lit(min(1 << 40, (1 << 40) * wanted // max(1, total)))
 
 
-def shards(spark: SparkSession, least: int = 16) -> int:
-    """Number of key ranges: as many as shuffle partitions, which are sized to the data."""
-    return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def sized_shards(docs: DataFrame, column: str, each: int, least: int = 16, most: int | None = None) -> int:
     """Number of key ranges: one for each ``each`` bytes of text in all rows, which are read for it."""
     total = docs.agg(F.sum(F.octet_length(column)).alias("n")).first()["n"] or 0
@@ -81,6 +79,25 @@ def spread(df: DataFrame, shard: str, load: Column, by: Column, task: int) -> Da
     return found.withColumn("salt", F.pmod(F.xxhash64(by), F.coalesce("parts", F.lit(1))).cast("int")).drop("s", "parts")
 
 
+def join_split(rows: DataFrame, key: str, table: DataFrame, on: str, total: int | None = None, sizes: DataFrame | None = None, how: str = "inner", least: int = 1000, most: int = 10_000) -> DataFrame:
+    """``rows`` joined to ``table`` where ``key`` equals ``on``; hot keys are split over several tasks.
+
+    A key is hot if it has more than ``least`` rows and more than one in ``most`` of all: there are fewer than
+    ``most`` such keys, which bounds what is broadcast. Their rows are dealt out by a hash of the other
+    columns, and the table's rows for them go to each part. ``sizes`` (split_key, split_n) and ``total`` are
+    counted if they aren't given. Columns of the two sides must have different names.
+    """
+    limit = max(least, -(-(rows.count() if total is None else total) // most))
+    if sizes is None:
+        sizes = rows.groupBy(F.col(key).alias("split_key")).agg(F.count(F.lit(1)).alias("split_n"))
+    hot = F.broadcast(sizes.where(F.col("split_n") > limit).select("split_key", F.ceil(F.col("split_n") / limit).alias("split_parts")))
+    part = F.pmod(F.xxhash64(*[c for c in rows.columns if c != key]), F.coalesce("split_parts", F.lit(1)))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("split_parts", F.lit(1).cast("long")) - 1))
+    left = rows.join(hot, F.col(key) == F.col("split_key"), "left").select(*rows.columns, part.alias("split_l"))
+    right = table.join(hot, F.col(on) == F.col("split_key"), "left").select(*table.columns, every.alias("split_r"))
+    return left.join(right, (F.col(key) == F.col(on)) & (F.col("split_l") == F.col("split_r")), how).drop("split_l", "split_r")
+
+
 def id_filter(ids: DataFrame, column: str, bits: int = 1 << 23) -> np.ndarray:
     """A bitmap over hashed ids, always ``bits`` wide however many ids there are.
 

@@ -76,14 +76,15 @@ def words(data: np.ndarray, off: np.ndarray, table: np.ndarray) -> tuple[np.ndar
     return starts, np.flatnonzero(w & ~after) + 1 - starts, np.searchsorted(starts, off)
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of bytes."""
+def hashes(data: np.ndarray, starts: np.ndarray, lens: np.ndarray, seed: int = 0) -> np.ndarray:
+    """A 64-bit hash of each span of bytes; hashes of different seeds are independent."""
+    seed = mix(np.array([seed], U))
     view = np.ndarray(len(data) + 1, "<u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
     keep = np.array([(1 << (8 * i)) - 1 for i in range(9)], U)
-    h = mix((view[starts] & keep[np.minimum(lens, 8)]) + lens.astype(U) * K1)
+    h = mix((view[starts] & keep[np.minimum(lens, 8)] ^ seed) + lens.astype(U) * K1)
     at, k = np.flatnonzero(lens > 8), 8
     while at.size:
-        h[at] = mix(h[at] * K1 + (view[starts[at] + k] & keep[np.minimum(lens[at] - k, 8)]))
+        h[at] = mix(h[at] * K1 + (view[starts[at] + k] & keep[np.minimum(lens[at] - k, 8)] ^ seed))
         k += 8
         at = at[lens[at] > k]
     return h
