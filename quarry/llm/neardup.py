@@ -11,14 +11,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._spark import bounded_batches, id_filter, in_filter, materialize
+from ._spark import bounded_batches, discard, id_filter, in_filter, join_split, materialize
 from ._words import K1, SPACED, U, give_back, grams, mix, pieces, word_hashes
 from .components import components
 
 REGISTERS, ROWS, MANTISSA = 128, 4, 10
 BANDS = REGISTERS // ROWS
-#: Rounds of comparisons with centres, each linear in the number of classes.
-ROUNDS = 1
 #: Documents in crowded buckets are compared by their TOP rarest shingles, long ones by finer sketches of 2 ** FINE registers.
 FINE, TOP, SHORT, LONG = 9, 128, 1000, 800
 #: Documents with a rare shingle that a task compares at once, and rows of a group.
@@ -117,8 +115,11 @@ def _sets(docs: DataFrame, nodes: DataFrame, n: int) -> DataFrame:
     return found.mapInArrow(run, "id long, g long, set array<long>, fine binary").where(F.size("set") > 0).join(nodes, F.col("id") == F.col("node"), "left_semi")
 
 
-def _linked(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, percent: int, sets: DataFrame | None = None) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; ``sets``, if given, holds those of all in ``pairs``."""
+def _linked(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, percent: int, made: list, sets: DataFrame | None = None) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar enough; ``sets``, if given, holds those of all in ``pairs``.
+
+    ``pairs`` is a written table. A document in very many pairs is joined in several tasks.
+    """
     slack = percent / 100 - 5 * math.sqrt(percent / 100 * (1 - percent / 100) / REGISTERS)
 
     @F.pandas_udf("boolean")
@@ -126,42 +127,56 @@ def _linked(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, n: int, perc
         a, b = (np.frombuffer(b"".join(x), np.uint16).reshape(-1, REGISTERS) for x in (ra, rb))
         return pd.Series(estimate(a, b, na.to_numpy(), nb.to_numpy()) >= slack)
 
-    side = lambda s: sketches.select(F.col("rep").alias(s), F.col("n").alias(f"n{s}"), F.col("regs").alias(f"r{s}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & likely("ra", "rb", "na", "nb"))
-    near = materialize(near.select("a", "b"))
+    total = pairs.count()
+
+    def attached(pairs: DataFrame, total: int, table: DataFrame, key: str, values: dict[str, str]) -> DataFrame:
+        """``pairs`` with the columns of ``table`` for both sides; hot sides are known by their number of pairs."""
+        out = pairs
+        for s in ("a", "b"):
+            sizes = pairs.groupBy(F.col(s).alias("split_key")).agg(F.count(F.lit(1)).alias("split_n"))
+            own = table.select(F.col(key).alias(f"k{s}"), *[F.col(c).alias(f"{x}{s}") for c, x in values.items()])
+            out = join_split(out, s, own, f"k{s}", total=total, sizes=sizes).drop(f"k{s}")
+        return out
+
+    near = attached(pairs, total, sketches, "rep", {"n": "n", "regs": "r"})
+    near = near.where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent) & likely("ra", "rb", "na", "nb"))
+    near = materialize(near.select("a", "b"), made)
     if sets is None:
-        sets = materialize(_sets(docs, near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), n))
-    both = near.join(sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("sb")), "b")
+        sets = materialize(_sets(docs, near.select(F.explode(F.array("a", "b")).alias("node")).distinct(), n), made)
+    both = attached(near, near.count(), sets, "id", {"set": "s"})
     common = F.size(F.array_intersect("sa", "sb"))
     return both.where(common * 100 >= (F.size("sa") + F.size("sb") - common) * percent).select("a", "b")
 
 
-def _rare_pairs(sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) of different components that share one of their rarest shingles; none that is similar enough is missed.
+def _rare_pairs(sets: DataFrame, labels: DataFrame, percent: int, made: list | None = None) -> DataFrame:
+    """Candidates (a, b) of different components that share one of their rarest shingles.
 
     With shingles in the order of their frequency among ``sets``, the rarest ninth (for 80 percent) of the
     smaller set and the rarest fifth of the larger one have a member in common if the sets are similar
     enough. What a crowd of documents shares isn't among the rarest of those that have much of their own.
     Documents with a rare shingle in common are compared within a task (tiles of a crowd in several), which
     gives out only pairs that can be similar enough: for sets of up to 1000 by what their 128 rarest
-    shingles have in common and all others could have, for larger ones by fine sketches.
+    shingles have in common and all others could have, which misses none; for larger ones by sketches of 512
+    registers, which lose a pair over the threshold only if its estimate is five standard errors too low.
     """
+    total = sets.agg(F.coalesce(F.sum(F.size("set")), F.lit(0)).alias("n")).first()["n"]
     every = sets.select("id", "g", F.size("set").cast("long").alias("n"), F.explode("set").alias("t"))
-    often = every.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1")
+    often = materialize(every.groupBy("t").agg(F.count(F.lit(1)).alias("f")).where("f > 1").withColumnRenamed("t", "ot"), made)
     own = Window.partitionBy("id", "g")
     # Shingles of one set only come first; they are counted, but meet nothing.
     place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("f", "t"))
     whole = F.expr(f"n - (({percent} * n + 99) div 100) + 1")
     short = F.expr(f"n - ((2 * {percent} * n + {99 + percent}) div {100 + percent}) + 1")
-    placed = every.join(often, "t").withColumn("place", place).where((F.col("place") <= whole) | (F.col("place") <= TOP) & (F.col("n") <= SHORT))
-    placed = materialize(placed.select("id", "g", "n", "t", "place"))
+    known = join_split(every, "t", often, "ot", total, often.select(F.col("ot").alias("split_key"), F.col("f").alias("split_n"))).drop("ot")
+    placed = known.withColumn("place", place).where((F.col("place") <= whole) | (F.col("place") <= TOP) & (F.col("n") <= SHORT))
+    placed = materialize(placed.select("id", "g", "n", "t", "place"), made)
     tops = placed.where((F.col("place") <= TOP) & (F.col("n") <= SHORT)).groupBy("id", "g").agg(F.collect_list("t").alias("top"))
     rare = placed.where(F.col("place") <= whole).select("id", "g", "n", "t", (F.col("place") <= short).alias("first"))
-    rare = rare.join(labels, F.col("id") == F.col("node")).drop("node")
+    rare = materialize(rare.join(labels, F.col("id") == F.col("node")).drop("node"), made)
     crowds = rare.groupBy("t").agg(F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y")
-    crowds = crowds.select("t", F.ceil(F.col("m") / TILE).cast("int").alias("parts"))
+    crowds = crowds.select(F.col("t").alias("ct"), F.ceil(F.col("m") / TILE).cast("int").alias("parts"))
     known = sets.select("id", "g", "fine").join(tops, ["id", "g"], "left")
-    rows = materialize(rare.join(crowds, "t").join(known, ["id", "g"]).drop("g"))
+    rows = materialize(join_split(rare, "t", crowds, "ct").drop("ct").join(known, ["id", "g"]).drop("g"), made)
     groups = rows.count() // GROUP + 1
     mine = F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")
     others = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
@@ -235,51 +250,53 @@ def near_duplicates(docs: DataFrame, words: int = 4, percent: int = 80) -> DataF
     with a probability of 5e-8. Candidates whose estimate isn't far below the threshold are verified on
     their full sets.
 
-    A band's bucket isn't expanded into pairs: in rounds, each class is compared with two of its buckets'
-    centres, the members that meet most others. Classes whose buckets still hold several components then
-    meet by their rarest shingles.
+    A band's bucket isn't expanded into pairs: each class is compared with two of its buckets' centres, the
+    members that meet most others. Classes whose buckets still hold several components then meet by their
+    rarest shingles. Keys with very many rows are joined in several tasks.
 
     A null, empty or blank text has no shingles and is linked with nothing. Rows that share a doc_id count
     as linked. A null doc_id represents no class: such a row gets the component of its equal texts, or null
     if there are none with an id (and is then kept). Other columns are ignored.
     """
     bounded_batches(docs.sparkSession)
+    made: list[DataFrame] = []
     sketch = materialize(_sketch(docs, words))
     ids = sketch.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     classes = materialize(
-        sketch.where("fp is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands")).where("rep is not null")
+        sketch.where("fp is not null")
+        .groupBy("fp")
+        .agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("regs").alias("regs"), F.first("bands").alias("bands"))
+        .where("rep is not null"),
+        made,
     )
     keys = classes.select("rep", F.explode("bands").alias("key"))
-    buckets = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = materialize(keys.join(buckets, "key"))
+    buckets = materialize(keys.groupBy(F.col("key").alias("bucket")).agg(F.count(F.lit(1)).alias("size")).where("size > 1"), made)
+    shared = join_split(keys, "key", buckets, "bucket", classes.count() * BANDS, buckets.select(F.col("bucket").alias("split_key"), F.col("size").alias("split_n")))
+    shared = materialize(shared.select("rep", "key", "size"), made)
     # How many others a class meets: an original meets more of its altered copies than these do each other.
     reach = shared.groupBy("rep").agg(F.sum("size").alias("reach"))
-    members = materialize(shared.select("rep", "key").join(reach, "rep"))
-    state, links, tried = members.withColumn("c", F.col("rep")), None, None
-    for _ in range(ROUNDS):
-        centre = state.groupBy("key").agg(F.max(F.struct("reach", (-F.col("rep")).alias("o"), "c")).alias("m"), F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y")
-        near = state.join(centre, "key").where("c <> m.c").select("rep", F.col("m.reach").alias("r"), (-F.col("m.o")).alias("o")).distinct()
-        ordered = near.select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b"), "rep", "r")
-        if tried is not None:
-            ordered = ordered.join(tried, ["a", "b"], "left_anti")
-        star = ordered.groupBy("rep").agg(F.max(F.struct("r", "a", "b")).alias("p"), F.min(F.struct("r", "a", "b")).alias("q"))
-        star = materialize(star.select(F.explode(F.array("p", "q")).alias("p")).select("p.a", "p.b").distinct())
-        found = _linked(star, classes, docs, words, percent)
-        links = materialize(found if links is None else links.unionByName(found))
-        tried = star if tried is None else tried.unionByName(star)
-        labels = components(links)
-        state = members.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "key", "reach", F.coalesce("label", "rep").alias("c"))
-        state = materialize(state)
+    members = materialize(shared.select("rep", "key").join(reach, "rep"), made)
+    # Each class meets its buckets' centres: at most two, those that meet most others and fewest.
+    centre = members.groupBy(F.col("key").alias("bucket")).agg(F.max(F.struct("reach", (-F.col("rep")).alias("o"))).alias("m"))
+    near = join_split(members, "key", centre, "bucket").where("rep <> -m.o").select("rep", F.col("m.reach").alias("r"), (-F.col("m.o")).alias("o")).distinct()
+    ordered = near.select(F.least("rep", "o").alias("a"), F.greatest("rep", "o").alias("b"), "rep", "r")
+    star = ordered.groupBy("rep").agg(F.max(F.struct("r", "a", "b")).alias("p"), F.min(F.struct("r", "a", "b")).alias("q"))
+    star = materialize(star.select(F.explode(F.array("p", "q")).alias("p")).select("p.a", "p.b").distinct(), made)
+    links = materialize(_linked(star, classes, docs, words, percent, made), made)
+    labels = components(links)
+    state = members.join(labels, F.col("rep") == F.col("node"), "left").select("rep", "key", F.coalesce("label", "rep").alias("c"))
+    state = materialize(state, made)
     # What the stars have left: buckets with several components.
-    open_ = state.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("key")
-    left = materialize(state.join(open_, "key", "left_semi"))
-    sets = materialize(_sets(docs, left.select(F.col("rep").alias("node")).distinct(), words))
-    cross = _rare_pairs(sets, left.select(F.col("rep").alias("node"), F.col("c").alias("label")).distinct(), percent)
-    cross = materialize(cross.join(tried, ["a", "b"], "left_anti"))
-    links = links.unionByName(_linked(cross, classes, docs, words, percent, sets))
-    labels = components(materialize(links))
+    open_ = state.groupBy(F.col("key").alias("bucket")).agg(F.min("c").alias("x"), F.max("c").alias("y")).where("x <> y").select("bucket")
+    left = materialize(join_split(state, "key", open_, "bucket").groupBy(F.col("rep").alias("node")).agg(F.first("c").alias("label")), made)
+    sets = materialize(_sets(docs, left.select("node"), words), made)
+    cross = materialize(_rare_pairs(sets, left, percent, made).join(star, ["a", "b"], "left_anti"), made)
+    links = links.unionByName(_linked(cross, classes, docs, words, percent, made, sets))
+    labels = components(links)
+    for table in made:
+        discard(table)
     chosen = ids.join(labels, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("label", "rep").alias("component"))
-    some = sketch.where("fp is not null").select("doc_id", "n_shingles", "fp").join(chosen, F.col("fp") == F.col("f"), "left")
+    some = join_split(sketch.where("fp is not null").select("doc_id", "n_shingles", "fp"), "fp", chosen, "f", how="left")
     none = sketch.where("fp is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     out = some.select("doc_id", "n_shingles", F.col("component").alias("component_id")).unionByName(none)
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
