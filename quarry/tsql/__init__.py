@@ -6,6 +6,8 @@ What the subset lacks is refused with a message; nothing is ignored.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ from pyspark.sql import functions as F
 from quarry import spec as S
 from quarry.emit import Emitter
 from quarry.operators import dml
+from quarry.operators.script import temp_table
 from quarry.operators.tables import TableDef
 from quarry.sources.readers import shape
 from quarry.tsql.parser import TsqlError, parse
@@ -25,6 +28,7 @@ class Session:
 
     def __init__(self, spark: SparkSession, schema: str = "dbo"):
         self.spark, self.schema, self.tables, self.views = spark, schema, {}, {}
+        self.functions: dict[str, str] = {}
         self.definitions: dict[str, TableDef] = {}
 
     def register(self, name: str, df: DataFrame, definition: TableDef | None = None) -> None:
@@ -34,6 +38,29 @@ class Session:
         if definition:
             self.definitions[name.lower()] = definition
 
+    def register_function(self, name: str, function, returns: str = "string") -> None:
+        """A Python function, or a pandas_udf, under a bare name or one with its schema, or database and schema."""
+        own = f"quarry_{uuid.uuid4().hex[:12]}"
+        if hasattr(function, "returnType"):
+            self.spark.udf.register(own, function)
+        else:
+            self.spark.udf.register(own, function, returns)
+        self.functions[name.lower()] = own
+
+    @contextmanager
+    def transaction(self) -> Iterator[Session]:
+        """All changes made inside, or none: an error puts every table back. Transactions may be nested.
+
+        Tables are values and a change registers a new one, so what others read meanwhile stays as it was.
+        Files are changed by :class:`quarry.operators.store.Store`, which takes several tables at once.
+        """
+        kept = dict(self.tables), dict(self.views), dict(self.definitions)
+        try:
+            yield self
+        except BaseException:
+            self.tables, self.views, self.definitions = kept
+            raise
+
     def check(self, tree: S.Node) -> None:
         """Every table and every column that surely belongs to one must exist."""
         for name, columns in S.tables(tree).items():
@@ -58,7 +85,7 @@ class Session:
             found = [k.get(name) for t, k in kinds.items() if not source or owner.get(source.lower()) == t]
             return any(f in ("tinyint", "smallint", "int", "bigint") for f in found)
 
-        return Emitter("spark", integral, self.views)
+        return Emitter("spark", integral, self.views, functions=self.functions)
 
     def query(self, text: str, params: dict | None = None) -> DataFrame:
         tree = parse(text)
@@ -149,20 +176,38 @@ class Session:
                 where = self._bare(tree.where, tree, flat)
                 change = dml.delete(target, where) if isinstance(tree, S.Delete) else dml.update(target, {a.column: value(a, flat) for a in tree.assigns}, where, definition=definition)
             else:
-                if not isinstance(source, S.Join) or source.kind != "INNER" or not isinstance(source.left, S.Table):
-                    raise TsqlError("FROM here takes the target and one INNER JOIN")
-                sides = {(source.left.alias or source.left.name).lower(): "target"}
-                other, alias = self._source(source.right)
-                sides |= {alias.lower(): "source"}
-                loose = _loose(target, other)
-                on, where = self._bare(source.on, tree, sides, loose), self._bare(tree.where, tree, sides, loose)
-                if isinstance(tree, S.Delete):
-                    change = dml.delete(target, where, other, on)
-                else:
-                    change = dml.update(target, {a.column: value(a, sides, loose) for a in tree.assigns}, None, other, on if where is None else on & where, definition)
+                change = self._joined(tree, target, definition)
+        if getattr(tree, "output", ()):
+            rows = change.inserted if isinstance(tree, S.Insert) else change.deleted
+            change.output = rows.select(*["*" if c == "*" else F.col(f"`{c}`") for c in tree.output])
         self.register(tree.target.name, change.table)
         return change
 
+    def _joined(self, tree: S.Update | S.Delete, target: DataFrame, definition: TableDef | None) -> dml.Change:
+        """UPDATE or DELETE with FROM, whatever its joins: rows of the target are numbered in a snapshot, and met by number.
+
+        A row that is updated from several rows of the other tables is an error.
+        """
+        number, copy = "quarry_row", f"quarry_{uuid.uuid4().hex[:12]}"
+        alias = tree.target.alias or tree.target.name
+        mine = lambda x: isinstance(x, S.Table) and (x.alias or x.name).lower() == alias.lower()
+        source = tree.source if tree.source.first(mine) else S.Join("CROSS", tree.target, tree.source)
+        source = source.transform(lambda x: S.Table(copy, "", alias) if mine(x) else x)
+        numbered, _ = temp_table(target.withColumn(number, F.monotonically_increasing_id()), copy)
+        inner = Session(self.spark, self.schema)
+        inner.tables, inner.views, inner.functions = dict(self.tables), dict(self.views), self.functions
+        inner.register(copy, numbered)
+        assigns = tree.assigns if isinstance(tree, S.Update) else ()
+        values = tuple(S.Item(a.value, f"quarry_{i}") for i, a in enumerate(assigns) if a.value is not None)
+        found = inner.run(S.Select((S.Item(S.Col(number, alias), number), *values), source, tree.where))
+        met = F.col(f"target.{number}") == F.col(f"source.{number}")
+        if isinstance(tree, S.Delete):
+            change = dml.delete(numbered, None, found, met)
+        else:
+            given = {a.column: dml.DEFAULT if a.value is None else F.col(f"source.quarry_{i}") for i, a in enumerate(assigns)}
+            change = dml.update(numbered, given, None, found, met, definition)
+        return dml.Change(*[x if x is None else x.drop(number) for x in (change.table, change.inserted, change.deleted)])
+
 
 def _loose(target: DataFrame, source: DataFrame) -> dict[str, str]:
     """The side of each column name."""
