@@ -161,6 +161,59 @@ def test_nearest_neighbours_of_few_unrelated_vectors(spark):
         assert sorted(found) == want
 
 
+@pytest.mark.parametrize("n", [2, 3, 12, 19, 22, 30, 40])
+def test_nearest_neighbours_are_complete_at_any_size(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 64))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    found = rows(ann.search(frame, lambda c: c % 20 == 0, 20), "query_id", "vec_id")
+    assert Counter(q for q, _ in found) == {q: min(20, n - 1) for q in range(0, n, 20)}
+
+
+def test_nearest_neighbours_when_no_number_of_cells_is_enough(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MOST_PROBES", 1)
+    x = np.random.default_rng(8).normal(size=(600, 32))
+    assert _recall(spark, x) == 1.0
+
+
+def test_cells_of_a_query_are_the_nearest_ones():
+    rng = np.random.default_rng(3)
+    for width, entries in ((4, 500), (8, 3000), (16, 40), (2, 5000)):
+        h = ann.Hashing(width, entries, 2, 1)
+        x = rng.normal(size=(20, width))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        for t in range(2):
+            total = np.zeros((20, 1))
+            for y in h.nearness(x, t):
+                total = (total[:, :, None] + y[:, None, :]).reshape(20, -1)
+            assert total.shape[1] == h.cells and (h.cell(x, t) == total.argmax(1)).all()
+            for probes in (1, 3, 17, h.cells):
+                cells, sums = h.nearest(x, t, probes)
+                probes = min(probes, h.cells)
+                assert np.allclose(np.sort(sums, 1), np.sort(total, 1)[:, -probes:])
+                assert np.allclose(np.take_along_axis(total, cells, 1), sums) and all(len(set(c)) == probes for c in cells.tolist())
+            at = rng.integers(0, h.cells, 20)
+            assert np.allclose(h.at(x, t, at), total[np.arange(20), at])
+
+
+def test_share_of_vectors_met_falls_as_rows_grow():
+    """With the cells that unrelated vectors need, the hardest case."""
+    rng = np.random.default_rng(6)
+    shares = []
+    for n in (1000, 30_000):
+        x = rng.normal(size=(n, 32))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        h = ann.Hashing(32, n, 6, 5)
+        near = [x[[j for j in np.argsort(-(x @ q)) if j != i][:20]] for i, q in enumerate(x[:60])]
+        probes = ann.probes_for(h, x[:60], near, 0.96)
+        met = np.zeros((60, n), bool)
+        for t in range(6):
+            cell, visited = h.cell(x, t), h.nearest(x[:60], t, probes)[0]
+            for i, v in enumerate(visited):
+                met[i] |= np.isin(cell, v)
+        shares.append(met.mean())
+    assert shares[1] < 0.6 * shares[0]
+
+
 def test_nearest_neighbours_ties_go_to_smaller_ids(spark):
     ones = [(1000 - i, [1.0, i * 1e-6]) for i in range(1, 200)]  # distinct, all of the same product
     frame = spark.createDataFrame([(0, [1.0, 0.0]), *ones], "vec_id long, embedding array<double>")
