@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.operators.tables import TableDef
+from quarry.session import shared_folder
 
 
 @dataclass
@@ -62,8 +63,11 @@ def insert(target: DataFrame, rows: DataFrame, unless_exists: list[str] | None =
 
 
 def _numbered(rows: DataFrame, name: str, start: int) -> DataFrame:
-    """Consecutive numbers after ``start``: partitions are counted first, so that all are numbered at once."""
-    marked = rows.drop(name).withColumn("_at", F.monotonically_increasing_id())
+    """Consecutive numbers after ``start``: partitions are counted first, so that all are numbered at once.
+
+    The rows are written once, as a source that is read again could come in another order.
+    """
+    marked = snapshot(rows.drop(name)).withColumn("_at", F.monotonically_increasing_id())
     part = F.shiftright("_at", 33)
     counts = {r["p"]: r["n"] for r in marked.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each partition
     before, total = [], start
@@ -75,6 +79,16 @@ def _numbered(rows: DataFrame, name: str, start: int) -> DataFrame:
     return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1) + 1).drop("_at", "_p", "_before")
 
 
+def snapshot(df: DataFrame) -> DataFrame:
+    """The rows as they are now, written to the shared folder; they go when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/rows-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(own)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def _sides(target: DataFrame, source: DataFrame) -> tuple[DataFrame, DataFrame]:
     t = target.select(F.struct(*[F.col(f"`{c}`") for c in target.columns]).alias("target"), F.monotonically_increasing_id().alias("_row"))
     s = source.select(F.struct(*[F.col(f"`{c}`") for c in source.columns]).alias("source"))
@@ -124,12 +138,15 @@ def _joined(target, source, on, matched, new, alone, definition, first_match) ->
         return action, result
 
     kind = t.schema["target"].dataType
-    # One join, of both sides in full if new rows are wanted; a target row's matches then meet by its number.
-    pairs = t.join(s, on, "full" if new else "left").withColumn("_row", F.coalesce("_row", -1 - F.monotonically_increasing_id()))
+    # One join, of both sides in full if new rows are wanted. That no target row is met twice is seen before, over
+    # the rows that match only: the whole target isn't shuffled again for it.
     if matched and not first_match:
-        pairs = pairs.withColumn("_n", F.count("source").over(Window.partitionBy("_row")))
-        pairs = pairs.where(F.when(F.col("_n") > 1, F.raise_error(F.lit("a row of the target matches several rows of the source"))).otherwise(F.lit(True)))
-    else:
+        twice = t.join(s, on).groupBy("_row").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        if not twice.isEmpty():
+            raise ValueError("a row of the target matches several rows of the source")
+    pairs = t.join(s, on, "full" if new else "left")
+    if first_match or not matched:
+        pairs = pairs.withColumn("_row", F.coalesce("_row", -1 - F.monotonically_increasing_id()))
         pairs = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("_row").orderBy("source"))).where("_n = 1")
     there, hit = F.col("target").isNotNull(), F.col("target").isNotNull() & F.col("source").isNotNull()
     by_hit, by_target, by_source = applied(matched, True), applied(alone, True), applied(new, False)
@@ -191,8 +208,8 @@ def merge(target: DataFrame, source: DataFrame, on: Column, definition: TableDef
 def commit(spark: SparkSession, change: Change | DataFrame, path: str) -> None:
     """Put the new version in the path's place: it is written whole beside it, then names are swapped.
 
-    One writer at a time. A reader sees the old files or the new ones; if the writer dies in between, the
-    old version is at path.old.
+    One writer at a time. There is a moment between the two renames in which the path doesn't exist; if the
+    writer dies there, the old version is at path.old. :class:`quarry.operators.store.Store` has no such moment.
     """
     table = change.table if isinstance(change, Change) else change
     new, old = f"{path}.{uuid.uuid4().hex}", f"{path}.old"

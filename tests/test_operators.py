@@ -287,3 +287,37 @@ def test_late_rows_and_state(spark, tmp_path):
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
     got = rows(run_to_end(windowed_totals(stream, "at", ["k"], "v", "1 hour", "10 minutes")))
     assert [(k, n, t) for _, k, n, t in got] == [("a", 3, 3.0), ("b", 1, 2.0)]
+
+
+def test_store_changes_tables_together(spark, tmp_path):
+    from quarry.operators.store import Conflict, Store
+
+    store = Store(spark, str(tmp_path / "store"))
+    assert store.versions() == {}
+    store.commit({"a": spark.range(3).toDF("id"), "b": spark.range(2).toDF("id")})
+    before = store.versions()
+    with store.transaction() as t:
+        t.write("a", dml.delete(t.read("a"), c("id") == 0))
+        t.write("a", dml.update(t.read("a"), {"id": c("id") + 10}))
+        t.drop("b")
+        assert rows(store.read("a")) == [(0,), (1,), (2,)] and rows(t.read("a")) == [(11,), (12,)]
+        with pytest.raises(KeyError):
+            t.read("b")
+    assert rows(store.read("a")) == [(11,), (12,)] and set(store.versions()) == {"a"}
+    assert rows(store.read("a", before)) == [(0,), (1,), (2,)] and rows(store.read("b", before)) == [(0,), (1,)]
+    with pytest.raises(ZeroDivisionError), store.transaction() as t:
+        t.write("a", spark.range(1).toDF("id"))
+        1 / 0
+    with pytest.raises(Conflict), store.transaction() as t:
+        t.write("a", t.read("a").limit(1))
+        store.commit({"a": spark.range(7).toDF("id")})
+    assert store.read("a").count() == 7
+    store.clean()
+    assert store.read("a").count() == 7 and len(list((tmp_path / "store" / "a").iterdir())) == 1
+
+
+def test_numbers_are_consecutive_after_a_shuffle(spark, target):
+    new = spark.range(500).repartition(7).select(F.lit("n").alias("s"))
+    got = dml.insert(target, new.withColumn("v", F.lit(0.0)), identity="id").inserted
+    start = target.agg(F.max("id")).first()[0]
+    assert sorted(r["id"] for r in got.collect()) == list(range(start + 1, start + 501))
