@@ -113,6 +113,29 @@ def table(name: str, alias: str = "", schema: str = "") -> S.Table:
     return S.Table(name, schema, alias)
 
 
+class Source:
+    """A table under an alias of its own, whose columns are named by it."""
+
+    def __init__(self, node: S.Table):
+        self.node = node
+
+    def col(self, name: str) -> E:
+        return col(name, self.node.alias)
+
+
+class Aliases:
+    """Numbers sources: the first call gives the alias A0, the next A1, and so on; ``taken`` ones are passed over."""
+
+    def __init__(self, prefix: str = "A", taken: Iterable[str] = ()):
+        self.prefix, self.next, self.taken = prefix, 0, {t.lower() for t in taken}
+
+    def __call__(self, name: str, schema: str = "") -> Source:
+        while (alias := f"{self.prefix}{self.next}").lower() in self.taken:
+            self.next += 1
+        self.next += 1
+        return Source(S.Table(name, schema, alias))
+
+
 def values(rows, alias: str, *columns: str) -> S.Values:
     made = tuple(tuple(map(value, r)) for r in rows)
     if not made or any(len(r) != len(columns) for r in made):
@@ -130,10 +153,10 @@ class Query:
         return Query(self.node.with_(**c))
 
     def from_(self, source) -> Query:
-        return self._with(source=source)
+        return self._with(source=getattr(source, "node", source))
 
     def _join(self, kind, source, on=None) -> Query:
-        return self._with(source=S.Join(kind, self.node.source, source, None if on is None else value(on)))
+        return self._with(source=S.Join(kind, self.node.source, getattr(source, "node", source), None if on is None else value(on)))
 
     def inner_join(self, source, on):
         return self._join("INNER", source, on)

@@ -39,11 +39,12 @@ def _value(v, column: str, definition: TableDef | None) -> Column:
     return v if isinstance(v, Column) else F.lit(v)
 
 
-def insert(target: DataFrame, rows: DataFrame, unless_exists: list[str] | None = None, also: dict | None = None, definition: TableDef | None = None, identity: str | None = None) -> Change:
+def insert(target: DataFrame, rows: DataFrame, unless_exists: list[str] | None = None, also: dict | None = None, definition: TableDef | None = None, identity: str | None = None, keep_identity: bool = False) -> Change:
     """Rows added. Columns that ``rows`` lacks get their default or null; ``also`` adds expressions for all.
 
     ``unless_exists``: only rows that differ from all of the target's in these columns (null equals null).
-    ``identity``: a column numbered on from the target's largest value, without gaps.
+    ``identity``: a column numbered on from the target's largest value, without gaps. With ``keep_identity``
+    the values that rows bring stay, and rows without one are numbered on from the largest of all.
     """
     for name, v in (also or {}).items():
         rows = rows.withColumn(name, _value(v, name, definition))
@@ -56,7 +57,13 @@ def insert(target: DataFrame, rows: DataFrame, unless_exists: list[str] | None =
         rows = rows.join(have, on, "left_anti")
     if identity:
         start = target.agg(F.coalesce(F.max(identity), F.lit(0))).first()[0]
-        rows = _numbered(rows, identity, start)
+        if keep_identity:
+            rows = snapshot(rows)
+            own = rows.where(F.col(identity).isNotNull())
+            start = max(start, own.agg(F.coalesce(F.max(identity), F.lit(0))).first()[0])
+            rows = own.unionByName(_numbered(rows.where(F.col(identity).isNull()), identity, start))
+        else:
+            rows = _numbered(rows, identity, start)
     cast = {f.name: f.dataType for f in target.schema}
     new = rows.select(*[(F.col(c) if c in rows.columns else _value(DEFAULT, c, definition)).cast(cast[c]).alias(c) for c in target.columns])
     return Change(target.unionByName(new), inserted=new)

@@ -70,6 +70,48 @@ def objects(df: DataFrame, kind: type) -> list:
     return [kind(**{n: r[n] for n in names}) for r in df.select(*names).toLocalIterator()]
 
 
+class ModelMap:
+    """A dataclass and the columns its fields stand for, in both directions.
+
+    ``columns`` maps fields to columns of other names; ``keys`` are the fields that tell objects apart.
+    """
+
+    def __init__(self, kind: type, keys: Iterable[str] = (), columns: dict[str, str] | None = None):
+        self.kind, self.keys = kind, tuple(keys)
+        names = [f.name for f in dataclasses.fields(kind)]
+        if unknown := {*self.keys, *(columns or {})} - set(names):
+            raise ValueError(f"no such fields: {', '.join(sorted(unknown))}")
+        self.columns = {n: (columns or {}).get(n, n) for n in names}
+
+    def read(self, row) -> object:
+        """An object from a row, by name."""
+        return self.kind(**{f: row[c] for f, c in self.columns.items()})
+
+    def read_ordinal(self, row, start: int = 0) -> object:
+        """An object from a row's values in the order of the fields."""
+        return self.kind(*[row[start + i] for i in range(len(self.columns))])
+
+    def select(self, df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(f"`{c}`") for c in self.columns.values()])
+
+    def objects(self, df: DataFrame) -> list:
+        return [self.read(r) for r in self.select(df).toLocalIterator()]
+
+    def key_of(self, x) -> dict:
+        return {self.columns[k]: getattr(x, k) for k in self.keys}
+
+    def update_of(self, x) -> dict:
+        """The columns that aren't keys, with an object's values."""
+        return {c: getattr(x, f) for f, c in self.columns.items() if f not in self.keys}
+
+    def rows(self, items: Iterable) -> list[dict]:
+        return [{c: getattr(x, f) for f, c in self.columns.items()} for x in items]
+
+    @property
+    def key_columns(self) -> list[str]:
+        return [self.columns[k] for k in self.keys]
+
+
 def all_of(*predicates: Column | None) -> Column:
     """AND of those that aren't None; true without any."""
     return reduce(lambda a, b: a & b, [p for p in predicates if p is not None], F.lit(True))

@@ -19,6 +19,7 @@ from quarry.operators.script import temp_table
 from quarry.operators.tables import TableDef
 from quarry.sources.readers import shape
 from quarry.tsql.parser import TsqlError, parse
+from quarry.tsql.scopes import check_columns
 
 __all__ = ["Session", "TsqlError", "parse"]
 
@@ -62,17 +63,11 @@ class Session:
             raise
 
     def check(self, tree: S.Node) -> None:
-        """Every table and every column that surely belongs to one must exist."""
-        for name, columns in S.tables(tree).items():
+        """Every table must exist, and every column in the scope where it is named."""
+        for name in S.tables(tree):
             if name.lower() not in self.tables:
                 raise TsqlError(f"there is no table {name}")
-            if any(isinstance(x, (S.Derived, S.Values, S.TableCall, S.Cte)) for x in tree.walk()):
-                continue  # inner scopes may shadow names; the analyzer checks them
-            have = {c.lower() for c in self.tables[name.lower()].columns}
-            aliases = {x.alias.lower() for x in tree.walk() if isinstance(x, S.Item)}
-            for c in columns:
-                if c.lower() not in have and c.lower() not in aliases:
-                    raise TsqlError(f"{name} has no column {c}")
+        check_columns(tree, {k: {c.lower() for c in t.columns} for k, t in self.tables.items()})
         for x in tree.walk():
             if isinstance(x, S.Table) and x.schema and x.schema.lower() != self.schema:
                 raise TsqlError(f"there is no schema {x.schema}")

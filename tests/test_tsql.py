@@ -127,3 +127,65 @@ def test_round_trip_through_text():
         tree = parse(text)
         assert parse(to_sql(tree, "tsql")) == tree
         assert S.from_json(S.to_json(tree)) == tree and S.from_xml(S.to_xml(tree)) == tree
+
+
+@pytest.mark.parametrize(
+    ("text", "part"),
+    [
+        ("SELECT x.nope FROM (SELECT id, name FROM people) AS x", "x has no column nope"),
+        ("SELECT x.id FROM (SELECT nope AS id FROM people) AS x", "people has no column nope"),
+        ("WITH a AS (SELECT id AS k FROM people) SELECT a.id FROM a", "a has no column id"),
+        ("WITH a (k, m) AS (SELECT id, name FROM people) SELECT k, name FROM a", "a has no column name"),
+        ("SELECT v.z FROM (VALUES (1, 2)) AS v(a, b)", "v has no column z"),
+        ("SELECT p.id FROM people AS p WHERE EXISTS (SELECT 1 FROM pets AS q WHERE q.owner = p.nope)", "people has no column nope"),
+        ("SELECT p.id FROM people AS p WHERE EXISTS (SELECT 1 FROM pets AS q WHERE r.owner = p.id)", "no source r"),
+        ("SELECT x.id FROM (SELECT * FROM people UNION ALL SELECT * FROM people) AS x WHERE x.wrong = 1", "x has no column wrong"),
+        ("SELECT (SELECT MAX(zz) FROM pets) AS m FROM people", "pets has no column zz"),
+    ],
+)
+def test_columns_are_checked_where_they_are_named(session, text, part):
+    with pytest.raises(TsqlError, match=part):
+        session.query(text)
+
+
+def test_scopes_see_what_is_around_them(session):
+    text = "WITH RECURSIVE_ AS (SELECT id AS k FROM people) SELECT p.name, x.n FROM people AS p CROSS APPLY (SELECT COUNT(*) AS n FROM pets AS q WHERE q.owner = p.id AND age > 1) AS x WHERE p.id IN (SELECT k FROM RECURSIVE_) ORDER BY n"
+    assert session.query(text).count() == 3
+    assert session.query("SELECT id AS z FROM people ORDER BY z").count() == 3
+
+
+def test_functions_with_a_schema(session):
+    session.register_function("dbo.twice", lambda x: None if x is None else 2 * x, "int")
+    session.register_function("main.dbo.thrice", lambda x: None if x is None else 3 * x, "int")
+    assert rows(session.query("SELECT dbo.twice(id) AS a, main.dbo.thrice(id) AS b FROM people WHERE dbo.TWICE(id) > 2")) == [(4, 6), (6, 9)]
+    with pytest.raises(Exception, match="other"):
+        session.query("SELECT other.twice(id) AS a FROM people")
+
+
+def test_output_of_changes(session):
+    assert rows(session.execute("INSERT INTO people (id, name) OUTPUT INSERTED.id, INSERTED.name VALUES (40, 'x'), (41, 'y')").output) == [(40, "x"), (41, "y")]
+    assert rows(session.execute("DELETE FROM people OUTPUT DELETED.* WHERE id = 40").output.select("id", "name")) == [(40, "x")]
+    assert rows(session.execute("DELETE p OUTPUT DELETED.id FROM people AS p LEFT JOIN pets AS q ON q.owner = p.id WHERE q.id IS NULL").output) == [(2,), (41,)]
+
+
+def test_changes_with_several_joins(session):
+    session.execute("UPDATE p SET age = b.age + 100, name = DEFAULT FROM people AS p LEFT JOIN pets AS q ON q.owner = p.id INNER JOIN people AS b ON b.id = 2 WHERE q.id IS NULL OR p.id = 1")
+    assert rows(session.query("SELECT id, name FROM people WHERE age > 99 OR age IS NULL")) != []
+    with pytest.raises(ValueError, match="several rows"):
+        session.execute("UPDATE p SET age = q.id FROM people AS p CROSS JOIN pets AS q")
+    session.execute("DELETE FROM people FROM pets AS q WHERE q.owner = people.id")
+    assert rows(session.query("SELECT id FROM people")) == [(2,)]
+
+
+def test_transactions_put_tables_back(session):
+    before = rows(session.query("SELECT id, name FROM people"))
+    with pytest.raises(ZeroDivisionError), session.transaction():
+        session.execute("DELETE FROM people")
+        with session.transaction():
+            session.execute("INSERT INTO people (id) VALUES (77)")
+        assert rows(session.query("SELECT id FROM people")) == [(77,)]
+        1 / 0
+    assert rows(session.query("SELECT id, name FROM people")) == before
+    with session.transaction():
+        session.execute("DELETE FROM people WHERE id = 1")
+    assert session.query("SELECT id FROM people WHERE id = 1").count() == 0
