@@ -149,8 +149,9 @@ def utc_now() -> Column:
 
 
 def distinct_count_over(v: Column, window) -> Column:
-    """COUNT(DISTINCT v) OVER (...), which has no direct form; holds a partition's distinct values."""
-    return F.size(F.collect_set(v).over(window)).cast("long")
+    """COUNT(DISTINCT v) OVER (PARTITION BY ...), which has no direct form: ranks from both ends, less one, less the nulls'."""
+    ranks = F.dense_rank().over(window.orderBy(v.asc())) + F.dense_rank().over(window.orderBy(v.desc()))
+    return (ranks - 1 - F.max(F.when(v.isNull(), 1).otherwise(0)).over(window)).cast("long")
 
 
 #: Portable functions by name: the number of arguments and how they are made.

@@ -285,7 +285,7 @@ def test_late_rows_and_state(spark, tmp_path):
     one = [(dt.datetime(2024, 1, 1, 0, m), "a", 1.0) for m in (1, 5, 61 % 60)] + [(dt.datetime(2024, 1, 1, 1, 30), "b", 2.0)]
     spark.createDataFrame(one, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    got = rows(run_to_end(windowed_totals(stream, "at", ["k"], "v", "1 hour", "10 minutes")))
+    got = rows(run_to_end(windowed_totals(stream, "at", ["k"], "v", "1 hour", "10 minutes"), ["start", "k"]))
     assert [(k, n, t) for _, k, n, t in got] == [("a", 3, 3.0), ("b", 1, 2.0)]
 
 

@@ -9,7 +9,7 @@ import os
 import duckdb
 import pytest
 
-from quarry.plans import catalog
+from quarry.plans import catalog, more  # noqa: F401 (adds to the catalog's queries)
 
 FOLDER = os.environ.get("QUARRY_TEST_DATA", "/root/testdata/sf0.001")
 
