@@ -17,7 +17,8 @@ from ._words import ALNUM, pieces, word_hashes
 #: A word number takes 21 bits, so three fit a sort key.
 BITS = 21
 MOST = (1 << BITS) - 2
-FOUND = ("n_words", "n_hit", "longest_match", "n_items", "items_sha256", "contaminated")
+FOUND = ("n_words", "n_hit", "longest_match", "n_items", "items_sha256", "contaminated", "locations")
+PLACES = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 #: Bytes of text in a shard.
 SHARD = 2 << 20
 
@@ -174,13 +175,13 @@ def _found(block: TestBlock, col: pa.Array, levels: int):
 
 
 def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_words: int = 1_000_000, texts: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit, longest_match, n_items, items_sha256, contaminated for every row of ``docs``.
+    """doc_id, n_words, n_hit, longest_match, n_items, items_sha256, contaminated, locations for every row of ``docs``.
 
     Words are runs of [0-9a-z] and non-ASCII characters of the lower-cased text; a word is hit if a
     window of ``window`` consecutive words of an item (the whole item, if it is shorter) covers it.
     Shards of whole documents (about 2 MB) are sorted into suffix arrays, in which all windows are
-    searched by bisection; equal suffixes give the locations. longest_match is the most consecutive
-    words shared with an item, in windows.
+    searched by bisection; equal suffixes give the locations: ranges of hit words (from 0, the end outside).
+    longest_match is the most consecutive words shared with an item, in windows.
 
     The benchmark is taken in blocks of ``most_words`` words, each broadcast on its own; with several,
     the documents pass through one search after the other without a shuffle. A null or empty text has
@@ -194,7 +195,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_words: in
     names = docs.columns if texts else ["doc_id"]
     state = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("text").alias("t"), F.lit(None).cast("binary").alias("state"))
     row = state.schema["row"].dataType.simpleString()
-    done = f"row {row}, n_words long, n_hit long, longest_match long, n_items long, items_sha256 string, contaminated boolean"
+    done = f"row {row}, n_words long, n_hit long, longest_match long, n_items long, items_sha256 string, contaminated boolean, locations array<struct<begin:long,end:long>>"
     nothing = ([], set(), 0)
     coming = blocks(benchmark, window, most_words)
     block = next(coming, None) or TestBlock(np.zeros(0, np.uint64), *(np.zeros((levels, 0), np.int64),) * 2, np.zeros(0, np.int64), [], [], [])
@@ -221,7 +222,7 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_words: in
                 hit = [sum(y - x for x, y in s[0]) for s in found]
                 sha = [hashlib.sha256(",".join(sorted(s[1])).encode()).hexdigest() for s in found]
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("row"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([s[2] for s in found], pa.int64()), pa.array([len(s[1]) for s in found], pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in hit], pa.bool_())],
+                    [b.column("row"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([s[2] for s in found], pa.int64()), pa.array([len(s[1]) for s in found], pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in hit], pa.bool_()), pa.array([[{"begin": x, "end": y} for x, y in s[0]] for s in found], PLACES)],
                     names=["row", *FOUND],
                 )
 
@@ -242,7 +243,11 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10) -> DataFrame:
-    """The rows of ``docs``, all columns, that share no window with the benchmark."""
+    """The rows of ``docs``, all columns, that share no window with the benchmark.
+
+    Null and empty texts share none and stay; rows that repeat go or stay together; an empty benchmark leaves
+    all rows; further columns may have any names.
+    """
     inner = docs.toDF(*[f"own_{i}" for i in range(len(docs.columns))])
     text = f"own_{docs.columns.index('text')}"
     found = find(inner.withColumn("text", F.col(text)), benchmark, window, texts=True)

@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import heapq
+import json
 import uuid
 from collections.abc import Iterator, Mapping
 from fractions import Fraction
 from itertools import islice
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,7 +20,7 @@ MODULUS, MULTIPLIER, ADDEND = 1 << 31, 1_103_515_245, 12_345
 #: More sources than this are an error: the driver holds their counts and the schedule of a period.
 MOST_SOURCES = 10_000
 #: Blocks of a schedule that the driver holds at once, and the largest deadline (64 bits).
-AT_ONCE, LATEST = 1 << 20, (1 << 63) - 1
+AT_ONCE, LATEST = 1 << 17, (1 << 63) - 1
 
 
 def whole_shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -94,17 +94,22 @@ def whole_run(weights: Mapping[str, float], rows: Mapping[str, int], block: int)
         slot, now = slot + 1, now + 1
 
 
+def _inline(spark: SparkSession, rows: list[tuple], kind: str) -> DataFrame:
+    """Rows of the driver as a constant of the plan, which executors turn into rows by themselves."""
+    names = [x.split()[0] for x in kind.split(",")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    shape = ", ".join(":".join(x.split()) for x in kind.split(","))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{shape}>>")))
+
+
 def _written(spark: SparkSession, plan: Iterator, places: Mapping[str, int]) -> tuple[DataFrame, int]:
     """``plan`` as a table in the shared folder, and how many of its slots are within the target."""
     path, horizon = f"{shared_folder(spark)}/{uuid.uuid4().hex}", 0
     kind = "q_s int, q_j long, q_slot long, q_due long"
-    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
     while True:
         part = list(islice(plan, AT_ONCE))
         horizon += sum(x[4] for x in part)
-        columns = [[places[x[0]] for x in part], *([x[i] for x in part] for i in (1, 2, 3))]
-        table = pa.table([pa.array(c, k) for c, k in zip(columns, types, strict=True)], names=["q_s", "q_j", "q_slot", "q_due"])
-        spark.createDataFrame(table, kind).write.mode("append").parquet(path)
+        _inline(spark, [(places[x[0]], *x[1:4]) for x in part], kind).write.mode("append").parquet(path)
         if len(part) < AT_ONCE:
             return spark.read.schema(kind).parquet(path), horizon
 
@@ -166,8 +171,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
         # The first slot whose block its source can't fill.
         ends = [divmod(n // block, cycles[s]) for s, n in rows.items()]
         horizon = min((q * period + slots[s, r + 1] for (q, r), s in zip(ends, rows, strict=True)), default=0)
-        table = F.broadcast(spark.createDataFrame([(places[s], j, slot, due) for s, j, slot, due in plan], "q_s int, q_j long, q_slot long, q_due long"))
-    sizes = spark.createDataFrame([(s, places[s], k) for s, k in cycles.items()], "r_s string, r_i int, r_k long")
+        table = F.broadcast(_inline(spark, [(places[s], j, slot, due) for s, j, slot, due in plan], "q_s int, q_j long, q_slot long, q_due long"))
+    sizes = _inline(spark, [(s, places[s], k) for s, k in cycles.items()], "r_s string, r_i int, r_k long")
 
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
