@@ -19,9 +19,15 @@ def session(name: str = "quarry", **conf: str) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; where that is unset, as in tests, a temporary one."""
+    """The folder that driver and executors share, from spark.checkpoint.dir.
+
+    Where that is unset and everything runs in one process, as in tests, it is a temporary one; on a cluster
+    it is an error, as executors wouldn't see each other's files.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="quarry-")
         atexit.register(shutil.rmtree, base, True)
         spark.sparkContext.setCheckpointDir(base)
