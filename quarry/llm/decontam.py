@@ -17,7 +17,7 @@ from ._words import ALNUM, pieces, word_hashes
 #: A word number takes 21 bits, so three fit a sort key.
 BITS = 21
 MOST = (1 << BITS) - 2
-FOUND = ("n_words", "n_hit", "longest_match", "n_items", "items_sha256", "contaminated", "locations")
+FOUND = ("n_words", "n_hit", "longest_match", "n_items", "items_sha256", "contaminated")
 PLACES = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
 #: Bytes of text in a shard.
 SHARD = 2 << 20
@@ -174,14 +174,15 @@ def _found(block: TestBlock, col: pa.Array, levels: int):
     return np.diff(first) - 1, longest, items, first, pos, window
 
 
-def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_words: int = 1_000_000, texts: bool = False) -> DataFrame:
-    """doc_id, n_words, n_hit, longest_match, n_items, items_sha256, contaminated, locations for every row of ``docs``.
+def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_words: int = 1_000_000, texts: bool = False, places: bool = False) -> DataFrame:
+    """doc_id, n_words, n_hit, longest_match, n_items, items_sha256, contaminated for every row of ``docs``.
 
     Words are runs of [0-9a-z] and non-ASCII characters of the lower-cased text; a word is hit if a
     window of ``window`` consecutive words of an item (the whole item, if it is shorter) covers it.
     Shards of whole documents (about 2 MB) are sorted into suffix arrays, in which all windows are
-    searched by bisection; equal suffixes give the locations: ranges of hit words (from 0, the end outside).
-    longest_match is the most consecutive words shared with an item, in windows.
+    searched by bisection; equal suffixes give the locations. longest_match is the most consecutive
+    words shared with an item, in windows. With ``places`` there is a column more, locations: the ranges of
+    hit words (from 0, the end outside).
 
     The benchmark is taken in blocks of ``most_words`` words, each broadcast on its own; with several,
     the documents pass through one search after the other without a shuffle. A null or empty text has
@@ -223,12 +224,12 @@ def find(docs: DataFrame, benchmark: DataFrame, window: int = 10, most_words: in
                 sha = [hashlib.sha256(",".join(sorted(s[1])).encode()).hexdigest() for s in found]
                 yield pa.RecordBatch.from_arrays(
                     [b.column("row"), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array([s[2] for s in found], pa.int64()), pa.array([len(s[1]) for s in found], pa.int64()), pa.array(sha, pa.string()), pa.array([x > 0 for x in hit], pa.bool_()), pa.array([[{"begin": x, "end": y} for x, y in s[0]] for s in found], PLACES)],
-                    names=["row", *FOUND],
+                    names=["row", *FOUND, "locations"],
                 )
 
         state = state.mapInArrow(run, done if last else state.schema)
         block = after
-    return state.select(*[F.col("row").getField(c).alias(c) for c in names], *FOUND)
+    return state.select(*[F.col("row").getField(c).alias(c) for c in names], *FOUND, *["locations"] * places)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:

@@ -313,7 +313,7 @@ def test_decontamination(spark, docs, most_words):
 def test_decontamination_locations(spark):
     bench = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(14))), (2, "short one")], "item_id long, text string")
     docs = [(1, "x y " + " ".join(f"W{i}" for i in range(12)) + " z short one"), (2, "nothing of it"), (3, None)]
-    got = {r["doc_id"]: (r["longest_match"], [tuple(x) for x in r["locations"]]) for r in decontam.find(framed(spark, docs), bench, 10).collect()}
+    got = {r["doc_id"]: (r["longest_match"], [tuple(x) for x in r["locations"]]) for r in decontam.find(framed(spark, docs), bench, 10, places=True).collect()}
     assert got == {1: (12, [(2, 14), (15, 17)]), 2: (0, []), 3: (0, [])}
 
 
