@@ -481,8 +481,20 @@ def definitions_compared(t):
     if not includes(a, a.with_(columns=lambda cs: cs[:2])) or includes(a, b):
         raise ValueError("inclusion is wrong")
     found = compare_tables(a, b)
-    out = [(x.name, "missing") for x in a.columns if x.name not in {y.name for y in b.columns}] + [(x.name, "extra") for x in b.columns if x.name not in {y.name for y in a.columns}]
-    return _rows(t, [*out, *([("b", "TYPE")] if found is not None else [])], "field string, difference string")
+    rows = [*((n, "missing") for n in found.missing), *((n, "extra") for n in found.extra), *((n, d.name) for n, d in found.different.items())]
+    return _rows(t, rows, "field string, difference string")
+
+
+@query("SELECT * FROM (VALUES ('missing', 'gone'), ('extra', 'new'), ('same', 'yes')) AS v(what, which)")
+def table_lists_compared(t):
+    from quarry.operators.tables import ColumnDef, TableDef, compare
+
+    key = (ColumnDef("id", "int", primary_key=True),)
+    base = TableDef("kept", key)
+    made = base.with_(columns=lambda cs: [*cs, ColumnDef("note", "string", True)])  # built at run time
+    found = compare([made, TableDef("gone", key)], [made, TableDef("new", key)])
+    same = "yes" if compare([made], [made]) is None and found.different == {} else "no"
+    return _rows(t, [("missing", ",".join(found.missing)), ("extra", ",".join(found.extra)), ("same", same)], "what string, which string")
 
 
 @query("SELECT * FROM (VALUES (0, 'part,region'), (1, 'nation'), (2, 'customer,supplier'), (3, 'orders'), (4, 'lineitem')) AS v(layer, names)")
@@ -532,3 +544,66 @@ def model_page(t):
 def portable_node(t):
     q = B.select(B.col("o_orderpriority"), B.call("SUM", B.col("o_totalprice")).as_("total")).from_(B.table("orders")).group_by(B.col("o_orderpriority"))
     return _session(t).run(q.node).withColumn("total", money("total"))
+
+
+# Functions that give tables, scripts of text, visitors, tokens
+
+
+@query("SELECT n_name, g.i AS step FROM nation, generate_series(1, n_regionkey) AS g(i) WHERE n_regionkey > 0")
+def table_function_with_schema(t):
+    from pyspark.sql.functions import udtf
+
+    @udtf(returnType="i: bigint")
+    class Steps:
+        def eval(self, n: int):
+            for i in range(1, n + 1):
+                yield (i,)
+
+    s = _session(t)
+    s.register_table_function("main.dbo.steps", Steps)
+    return s.query("SELECT n.n_name, g.i AS step FROM nation AS n CROSS APPLY main.dbo.steps(n.n_regionkey) AS g(i)")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey <> 0 AND n_nationkey < 20")
+def script_of_text(t):
+    """Statements one after the other; the last one's rows."""
+    return _session(t).script("DELETE FROM nation WHERE n_regionkey = 0; -- a comment; with a semicolon\nMERGE INTO nation AS t USING region AS r ON t.n_nationkey = r.r_regionkey + 20 WHEN MATCHED THEN DELETE; SELECT n_nationkey, n_name FROM nation WHERE n_name <> ';'")[-1]
+
+
+@query("SELECT n_nationkey FROM nation")
+def sink_async(t):
+    import asyncio
+
+    from quarry.sources import sinks
+
+    async def all_rows():
+        return [r["n_nationkey"] async for r in sinks.stream_rows_async(t.nation)]
+
+    return _rows(t, [(x,) for x in asyncio.run(all_rows())], "n_nationkey int")
+
+
+@query("SELECT * FROM (VALUES ('customer', 'c_custkey'), ('customer', 'c_acctbal'), ('customer', 'c_nationkey')) AS v(source, field)")
+def tree_visitor(t):
+    from quarry.tsql import parse
+
+    class Fields(S.Visitor):
+        def __init__(self):
+            self.of, self.found = {}, []
+
+        def enter_table(self, x):
+            self.of[x.alias or x.name] = x.name
+
+        def leave_select(self, x):
+            self.found += [(self.of[f.source], f.name) for f in x.walk() if isinstance(f, S.Col)]
+
+    v = Fields()
+    v.visit(parse(_TREE))
+    return _rows(t, sorted(set(v.found)), "source string, field string")
+
+
+@query("SELECT * FROM (VALUES (1, 'name', '[a b]'), (2, 'symbol', '>='), (3, 'string', '''it''''s''')) AS v(place, kind, text)")
+def tokens(t):
+    from quarry.tsql.parser import lex
+
+    kinds = {"[": "name", ">": "symbol", "'": "string"}
+    return _rows(t, [(i, kinds[x.text[0]], x.text) for i, x in enumerate(lex("SELECT [a b] /* >= */ >= 'it''s' -- end")[1:4], 1)], "place int, kind string, text string")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import asyncio
 import contextlib
+import itertools
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import AsyncIterator, Callable, Iterator
 from dataclasses import dataclass
 from typing import Any
 
@@ -29,6 +31,14 @@ def stream_rows(df: DataFrame) -> Iterator[Row]:
     yield from df.toLocalIterator(prefetchPartitions=True)
 
 
+async def stream_rows_async(df: DataFrame, at_once: int = 1000) -> AsyncIterator[Row]:
+    """Rows as they are asked for, fetched in another thread: the event loop goes on meanwhile."""
+    rows = df.toLocalIterator(prefetchPartitions=True)
+    while part := await asyncio.to_thread(lambda: list(itertools.islice(rows, at_once))):
+        for r in part:
+            yield r
+
+
 def to_list(df: DataFrame, make: Callable[[Row], Any] = lambda r: r, keep: Callable[[Any], bool] | None = None) -> list:
     made = map(make, df.toLocalIterator())
     return [x for x in made if keep is None or keep(x)]

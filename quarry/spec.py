@@ -46,6 +46,26 @@ class Node:
         return dataclasses.replace(self, **changes)
 
 
+class Visitor:
+    """Hooks for kinds of nodes: enter_<kind> before a node's parts, leave_<kind> after them, names in lower case.
+
+    An enter hook that gives False keeps the visit out of the node's parts; ``parents`` holds the way to a node.
+    """
+
+    parents: tuple[Node, ...] = ()
+
+    def visit(self, node: Node) -> None:
+        kind = type(node).__name__.lower()
+        enter, leave = (getattr(self, f"{what}_{kind}", getattr(self, what, None)) for what in ("enter", "leave"))
+        if enter is None or enter(node) is not False:
+            around, self.parents = self.parents, (*self.parents, node)
+            for x in node.children():
+                self.visit(x)
+            self.parents = around
+        if leave is not None:
+            leave(node)
+
+
 def _nodes(v: Any) -> Iterator[Node]:
     if isinstance(v, Node):
         yield v

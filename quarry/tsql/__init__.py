@@ -17,19 +17,24 @@ from quarry.emit import Emitter
 from quarry.operators import dml
 from quarry.operators.script import temp_table
 from quarry.operators.tables import TableDef
-from quarry.sources.readers import shape
-from quarry.tsql.parser import TsqlError, parse
+from quarry.sources.readers import register_table_function, shape
+from quarry.tsql.parser import TsqlError, parse, split
 from quarry.tsql.scopes import check_columns
 
 __all__ = ["Session", "TsqlError", "parse"]
 
 
+#: Changes of a table after which it is written to the shared folder.
+SNAPSHOT = 8
+
+
 class Session:
     """Tables by name, and T-SQL over them. Changes give new DataFrames and register them under the old name."""
 
     def __init__(self, spark: SparkSession, schema: str = "dbo"):
         self.spark, self.schema, self.tables, self.views = spark, schema, {}, {}
         self.functions: dict[str, str] = {}
+        self._changes: dict[str, int] = {}
         self.definitions: dict[str, TableDef] = {}
 
     def register(self, name: str, df: DataFrame, definition: TableDef | None = None) -> None:
@@ -48,6 +53,29 @@ class Session:
             self.spark.udf.register(own, function, returns)
         self.functions[name.lower()] = own
 
+    def register_table_function(self, name: str, function) -> None:
+        """A class decorated with ``udtf`` under a name like those of :meth:`register_function`, for FROM and APPLY."""
+        own = f"quarry_{uuid.uuid4().hex[:12]}"
+        register_table_function(self.spark, own, function)
+        self.functions[name.lower()] = own
+
+    def script(self, text: str, params: dict | None = None) -> list[DataFrame | dml.Change]:
+        """Statements parted by semicolons, one after the other: what each of them gives.
+
+        Each takes those of the parameters that it names; one that none of them names is an error.
+        """
+        given = {k.lower().lstrip("@"): v for k, v in (params or {}).items()}
+        parts = [p for p in split(text) if p.strip(" ;\n\t\r")]
+        trees = [parse(p) for p in parts]
+        named = [{x.name.lower() for x in tree.walk() if isinstance(x, S.Param)} for tree in trees]
+        if spare := set(given) - set().union(*named):
+            raise TsqlError(f"no such parameter: {', '.join(sorted(spare))}")
+        out = []
+        for part, tree, names in zip(parts, trees, named, strict=True):
+            run = self.execute if isinstance(tree, (S.Insert, S.Update, S.Delete, S.Merge)) else self.query
+            out.append(run(part, {k: v for k, v in given.items() if k in names}))
+        return out
+
     @contextmanager
     def transaction(self) -> Iterator[Session]:
         """All changes made inside, or none: an error puts every table back. Transactions may be nested.
@@ -175,6 +203,9 @@ class Session:
         if getattr(tree, "output", ()):
             rows = change.inserted if isinstance(tree, S.Insert) else change.deleted
             change.output = rows.select(*["*" if c == "*" else F.col(f"`{c}`") for c in tree.output])
+        self._changes[name] = self._changes.get(name, 0) + 1
+        if self._changes[name] % SNAPSHOT == 0:  # else a table's plan would grow with every change
+            change.table = dml.snapshot(change.table)
         self.register(tree.target.name, change.table)
         return change
 

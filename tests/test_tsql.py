@@ -189,3 +189,17 @@ def test_transactions_put_tables_back(session):
     with session.transaction():
         session.execute("DELETE FROM people WHERE id = 1")
     assert session.query("SELECT id FROM people WHERE id = 1").count() == 0
+
+
+def test_scripts_of_text(session):
+    out = session.script("UPDATE people SET age = @a WHERE id = 1; SELECT age FROM people WHERE id = @i;", {"a": 5, "i": 1})
+    assert len(out) == 2 and rows(out[1]) == [(5,)]
+    with pytest.raises(TsqlError, match="no such parameter"):
+        session.script("SELECT id FROM people", {"z": 1})
+
+
+def test_plans_do_not_grow_with_changes(session):
+    for i in range(17):
+        session.execute("UPDATE people SET age = @n WHERE id = 1", {"n": i})
+    plan = session.tables["people"]._jdf.queryExecution().optimizedPlan().toString()
+    assert rows(session.query("SELECT age FROM people WHERE id = 1")) == [(16,)] and len(plan.splitlines()) < 8
