@@ -114,6 +114,14 @@ def _written(spark: SparkSession, plan: Iterator, places: Mapping[str, int]) ->
             return spark.read.schema(kind).parquet(path), horizon
 
 
+def _with_slots(before: DataFrame, places: DataFrame, plan: DataFrame, block: int) -> DataFrame:
+    """b_s, b_range, before, slots: for each range of a source, the slots and deadlines of the blocks that it has rows of."""
+    last = F.floor((F.col("before") + F.col("n") - 1) / block)
+    blocks = before.join(F.broadcast(places), F.col("b_s") == F.col("r_s")).select("b_s", "b_range", "before", "r_i", F.explode(F.sequence(F.floor(F.col("before") / block) + 1, last + 1)).alias("j"))
+    found = blocks.join(plan, (F.col("r_i") == F.col("q_s")) & (F.col("j") == F.col("q_j")))
+    return found.groupBy("b_s", "b_range").agg(F.first("before").alias("before"), F.sort_array(F.collect_list(F.struct("q_j", "q_slot", "q_due"))).alias("slots"))
+
+
 def _named(source):
     return F.coalesce(source.cast("string"), F.lit("\0none"))
 
@@ -147,7 +155,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
     A null source is a source of its own; rows with null or repeated doc_id take neighbouring places in
     any order; an empty table stays empty; columns of ``docs`` named as the added ones are replaced.
     The schedule of a whole run is made by the driver, ``AT_ONCE`` blocks at a time, and written to the
-    shared folder; that of a period (``period`` rows) is broadcast.
+    shared folder, from which each range of a source gets the slots of its own blocks: the rows themselves move
+    once. That of a period (``period`` rows) is broadcast.
     """
     spark = docs.sparkSession
     docs = docs.drop(*OUTPUT)
@@ -160,9 +169,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
     targets = {s: given.get(s, float(n) ** power) for s, n in rows.items()}
     places = {s: i for i, s in enumerate(sorted(rows))}
     if period is None:
-        cycles = dict.fromkeys(rows, LATEST)  # never repeated
-        period = 0
-        table, horizon = _written(spark, whole_run(targets, rows, block), places)
+        table = None
+        written, horizon = _written(spark, whole_run(targets, rows, block), places)
     else:
         period = max(period, 2 * len(rows))
         cycles = whole_shares(targets, period)
@@ -172,7 +180,6 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
         ends = [divmod(n // block, cycles[s]) for s, n in rows.items()]
         horizon = min((q * period + slots[s, r + 1] for (q, r), s in zip(ends, rows, strict=True)), default=0)
         table = F.broadcast(_inline(spark, [(places[s], j, slot, due) for s, j, slot, due in plan], "q_s int, q_j long, q_slot long, q_due long"))
-    sizes = _inline(spark, [(s, places[s], k) for s, k in cycles.items()], "r_s string, r_i int, r_k long")
 
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
@@ -185,20 +192,28 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
         docs.select(_named(F.col("source")).alias("b_s"), _range(_scrambled("doc_id")).alias("b_range"))
         .groupBy("b_s", "b_range")
         .agg(F.count(F.lit(1)).alias("n"))
-        .select("b_s", "b_range", (F.sum("n").over(Window.partitionBy("b_s").orderBy("b_range")) - F.col("n")).alias("before"))
+        .select("b_s", "b_range", (F.sum("n").over(Window.partitionBy("b_s").orderBy("b_range")) - F.col("n")).alias("before"), "n")
     )
     ranked = keyed.withColumn("r", F.row_number().over(Window.partitionBy("s", "range").orderBy("key", "tie")))
-    ranked = ranked.join(before, (F.col("s") == F.col("b_s")) & (F.col("range") == F.col("b_range")))
+    if table is None:
+        before = _with_slots(before, _inline(spark, [(s, i) for s, i in places.items()], "r_s string, r_i int"), written, block)
+    here = (F.col("s") == F.col("b_s")) & (F.col("range") == F.col("b_range"))  # as the window is dealt out: no row moves again
     rank = F.col("before") + F.col("r") - 1
-    ranked = ranked.select("row", "s", rank.alias("rank")).join(F.broadcast(sizes), F.col("s") == F.col("r_s"))
-    number = F.floor(F.col("rank") / block)
-    ranked = ranked.select("row", "r_i", "rank", number.alias("number"), "r_k").withColumns({"cycle": F.floor(F.col("number") / F.col("r_k")), "j": F.col("number") % F.col("r_k") + 1})
-    placed = ranked.join(table, (F.col("r_i") == F.col("q_s")) & (F.col("j") == F.col("q_j")))
-    slot = (F.col("cycle") * period + F.col("q_slot")).cast("long")
+    ranked = ranked.join(before, here).withColumn("rank", rank).withColumn("number", F.floor(F.col("rank") / block))
+    if table is None:
+        own = F.get("slots", (F.col("number") - F.floor(F.col("before") / block)).cast("int"))
+        placed = ranked.select("row", "rank", own.getField("q_slot").alias("slot"), own.getField("q_due").alias("due"))
+    else:
+        sizes = _inline(spark, [(s, places[s], k) for s, k in cycles.items()], "r_s string, r_i int, r_k long")
+        ranked = ranked.select("row", "s", "rank", "number").join(F.broadcast(sizes), F.col("s") == F.col("r_s"))
+        ranked = ranked.withColumns({"cycle": F.floor(F.col("number") / F.col("r_k")), "j": F.col("number") % F.col("r_k") + 1})
+        placed = ranked.join(table, (F.col("r_i") == F.col("q_s")) & (F.col("j") == F.col("q_j")))
+        placed = placed.select("row", "rank", (F.col("cycle") * period + F.col("q_slot")).alias("slot"), (F.col("cycle") * period + F.col("q_due")).alias("due"))
+    slot = F.col("slot").cast("long")
     return placed.select(
         *[F.col("row").getField(c).alias(c) for c in names],
         slot.alias("mix_slot"),
         (slot * block + F.col("rank") % block).cast("long").alias("mix_position"),
-        (F.col("cycle") * period + F.col("q_due")).cast("long").alias("mix_deadline"),
+        F.col("due").cast("long").alias("mix_deadline"),
         (slot < F.lit(horizon)).alias("in_target"),
     )
