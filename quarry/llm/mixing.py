@@ -19,8 +19,8 @@ OUTPUT = ("mix_slot", "mix_position", "mix_deadline", "in_target")
 MODULUS, MULTIPLIER, ADDEND = 1 << 31, 1_103_515_245, 12_345
 #: More sources than this are an error: the driver holds their counts and the schedule of a period.
 MOST_SOURCES = 10_000
-#: Blocks of a schedule that the driver holds at once, and the largest deadline (64 bits).
-AT_ONCE, LATEST = 1 << 17, (1 << 63) - 1
+#: Blocks of a schedule that the driver holds at once, and in all; the largest deadline (64 bits).
+AT_ONCE, MOST_BLOCKS, LATEST = 1 << 17, 1 << 24, (1 << 63) - 1
 
 
 def whole_shares(weights: Mapping[str, float], period: int) -> dict[str, int]:
@@ -126,9 +126,13 @@ def _named(source):
     return F.coalesce(source.cast("string"), F.lit("\0none"))
 
 
-def _scrambled(column: str):
-    """An id's place in the order of reading: 31 bits, made by arithmetic that any SQL engine has."""
-    x = F.pmod(F.coalesce(F.col(column).cast("long"), F.lit(0)), F.lit(MODULUS))
+def _scrambled(docs: DataFrame):
+    """A row's place in the order of reading: 31 bits, made of doc_id by arithmetic that any SQL engine has.
+
+    Without a doc_id it is made of a hash of the row, so that many such rows aren't in one place.
+    """
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if not any(k in kind for k in ("map<", "variant"))]
+    x = F.pmod(F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(*hashed)), F.lit(MODULUS))
     x = (x * MULTIPLIER + ADDEND) % MODULUS
     x = x.bitwiseXOR(F.shiftright(x, 16))
     return (x * MULTIPLIER + ADDEND) % MODULUS
@@ -142,7 +146,8 @@ def _range(key):
 def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: float = 0.5, period: int | None = None, block: int = 8) -> DataFrame:
     """Every row of ``docs`` (doc_id, source, ...) with its place in the mixture.
 
-    A block is ``block`` rows of a source, in a scrambled order of doc_id. ``weights`` maps sources to
+    A block is ``block`` rows of a source (without a ``period``, more where there would be over 2^24 blocks, as
+    the driver makes their schedule), in a scrambled order of doc_id. ``weights`` maps sources to
     target weights; sources that it lacks, or all if it is None, weigh (their rows) ** ``power``. Columns
     added: mix_slot, the block's slot; mix_position, unique and ascending through the mixture;
     mix_deadline, by which the slot had to come; in_target, whether all sources last up to this slot, so
@@ -152,8 +157,8 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
     more), one of them at least for each source, and one schedule is repeated: the deviation from the target
     weights then grows with the number of slots.
 
-    A null source is a source of its own; rows with null or repeated doc_id take neighbouring places in
-    any order; an empty table stays empty; columns of ``docs`` named as the added ones are replaced.
+    A null source is a source of its own; rows of a repeated doc_id take neighbouring places in any order,
+    those without one places by a hash of the row; an empty table stays empty; columns of ``docs`` named as the added ones are replaced.
     The schedule of a whole run is made by the driver, ``AT_ONCE`` blocks at a time, and written to the
     shared folder, from which each range of a source gets the slots of its own blocks: the rows themselves move
     once. That of a period (``period`` rows) is broadcast.
@@ -169,6 +174,7 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
     targets = {s: given.get(s, float(n) ** power) for s, n in rows.items()}
     places = {s: i for i, s in enumerate(sorted(rows))}
     if period is None:
+        block = max(block, -(-sum(rows.values()) // MOST_BLOCKS))
         table = None
         written, horizon = _written(spark, whole_run(targets, rows, block), places)
     else:
@@ -184,12 +190,12 @@ def mix(docs: DataFrame, weights: Mapping[str, float] | None = None, power: floa
     keyed = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"),
         _named(F.col("source")).alias("s"),
-        _scrambled("doc_id").alias("key"),
-        _range(_scrambled("doc_id")).alias("range"),
+        _scrambled(docs).alias("key"),
+        _range(_scrambled(docs)).alias("range"),
         F.col("doc_id").alias("tie"),
     )
     before = (
-        docs.select(_named(F.col("source")).alias("b_s"), _range(_scrambled("doc_id")).alias("b_range"))
+        docs.select(_named(F.col("source")).alias("b_s"), _range(_scrambled(docs)).alias("b_range"))
         .groupBy("b_s", "b_range")
         .agg(F.count(F.lit(1)).alias("n"))
         .select("b_s", "b_range", (F.sum("n").over(Window.partitionBy("b_s").orderBy("b_range")) - F.col("n")).alias("before"), "n")

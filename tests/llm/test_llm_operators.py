@@ -704,6 +704,14 @@ def test_mixing_odd(spark):
     given = mixing.mix(spark.createDataFrame([(i, "ab"[i % 2]) for i in range(64)], "doc_id long, source string"), {"a": 3, "b": 1}, period=4, block=1)
     first = Counter(r["source"] for r in given.where("mix_slot < 8").collect())
     assert first == {"a": 6, "b": 2}
+    # Rows without an id, other rows repeated, and columns named like the operator's own.
+    odd = spark.createDataFrame([(None, f"t{i}", "a") for i in range(300)] + [(7, "same", "a")] * 20 + [(i, "x", None) for i in range(50)], "doc_id long, text string, source string")
+    out = mixing.mix(odd.withColumns({"rank": F.lit("r"), "slots": F.lit(2), "before": F.lit(3)}), {"a": 1.0, None: 1.0})
+    assert out.count() == 370 and out.select("mix_position").distinct().count() == 370 and {"rank", "slots", "before"} <= set(out.columns)
+    places = [r["mix_position"] for r in out.where("doc_id IS NULL").collect()]
+    assert max(places) - min(places) > 300
+    half = Counter(r["source"] for r in out.where("mix_slot < 10").collect())
+    assert half == {"a": 40, None: 40}
 
 
 # 9: repeated passages
