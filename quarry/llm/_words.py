@@ -109,18 +109,19 @@ def grams(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def pack(*columns: np.ndarray) -> bytes:
-    """Integer arrays of one length as bytes, by byte planes; the first is stored as differences."""
+def pack(*columns: np.ndarray, rising: bool = True) -> bytes:
+    """Integer arrays of one length as bytes, by byte planes; the first is stored as differences if it is rising."""
     n = len(columns[0])
     first = columns[0].copy()
-    first[1:] -= columns[0][:-1]
+    if rising:
+        first[1:] -= columns[0][:-1]
     planes = [np.array([n], "<i8").tobytes()]
     for c in (first, *columns[1:]):
         planes.append(np.ascontiguousarray(c).view(np.uint8).reshape(n, -1).T.tobytes() if n else b"")
     return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
 
 
-def unpack(blob: bytes, *types) -> list[np.ndarray]:
+def unpack(blob: bytes, *types, rising: bool = True) -> list[np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, at, out = int(np.frombuffer(raw, "<i8", 1)[0]), 8, []
     for t in types:
@@ -128,7 +129,8 @@ def unpack(blob: bytes, *types) -> list[np.ndarray]:
         planes = np.frombuffer(raw, np.uint8, n * w, at).reshape(w, n)
         out.append(np.ascontiguousarray(planes.T).view(t).reshape(n))
         at += n * w
-    out[0] = np.cumsum(out[0], dtype=out[0].dtype)
+    if rising:
+        out[0] = np.cumsum(out[0], dtype=out[0].dtype)
     return out
 
 

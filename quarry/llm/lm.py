@@ -29,13 +29,13 @@ class Batch:
         self.doc, held, size = unpack(blobs[0], np.int64, np.uint8, np.uint32)
         self.null, self.held = held >= 2, held % 2 == 1
         (self.vocabulary,) = unpack(blobs[1], U)
-        (self.ids,) = unpack(blobs[2], np.int32)
+        (self.ids,) = unpack(blobs[2], np.int32, rising=False)
         self.first = np.concatenate([[0], np.cumsum(size.astype(np.int64))])
 
     @staticmethod
     def blobs(doc: np.ndarray, held: np.ndarray, h: np.ndarray, size: np.ndarray) -> list[bytes]:
         vocabulary, ids = np.unique(h, return_inverse=True)
-        return [pack(doc, held.astype(np.uint8), size.astype(np.uint32)), pack(vocabulary), pack(ids.astype(np.int32))]
+        return [pack(doc, held.astype(np.uint8), size.astype(np.uint32)), pack(vocabulary), pack(ids.astype(np.int32), rising=False)]
 
     def pairs(self) -> np.ndarray:
         """The key of each token with the one before it."""
@@ -120,7 +120,7 @@ def _counted(batches: DataFrame, n: int) -> DataFrame:
         blobs, i = [], 0
         for (k, _), d in zip(got, dev, strict=True):
             p = at[i : i + len(k)]
-            blobs.append(pack(every[p], less[p]) if d else pack(every[p]))
+            blobs.append(pack(every[p], less[p], rising=False) if d else pack(every[p], rising=False))
             i += len(k)
         uni = kind == UNIGRAM
         tokens = [int(every.sum()) * uni, int(less.sum()) * uni, int((every > 0).sum()) * uni]
@@ -140,7 +140,7 @@ def _own_counts(left: pa.Table, right: pa.Table, less: bool):
     both = []
     rows = sorted(right.select(["kind", "shard", "blob"]).to_pylist(), key=lambda q: (q["kind"], q["shard"]))
     for kind in (UNIGRAM, BIGRAM):
-        parts = [unpack(q["blob"], U, U)[1] if less else unpack(q["blob"], U)[0] for q in rows if q["kind"] == kind]
+        parts = [unpack(q["blob"], U, U, rising=False)[1] if less else unpack(q["blob"], U, rising=False)[0] for q in rows if q["kind"] == kind]
         both.append(np.concatenate(parts).astype(np.float64) if parts else np.zeros(0))
     words = np.empty(len(x.vocabulary))
     words[np.argsort(mix(x.vocabulary))] = both[0]
@@ -237,4 +237,4 @@ def score(docs: DataFrame, held: Column, dev: Column) -> DataFrame:
 
 
 def _first(blob: bytes) -> bytes:
-    return pack(unpack(blob, U, U)[0])
+    return pack(unpack(blob, U, U, rising=False)[0], rising=False)
