@@ -87,7 +87,10 @@ def join_split(rows: DataFrame, key: str, table: DataFrame, on: str, total: int
     columns, and the table's rows for them go to each part. ``sizes`` (split_key, split_n) and ``total`` are
     counted if they aren't given. Columns of the two sides must have different names.
     """
-    limit = max(least, -(-(rows.count() if total is None else total) // most))
+    total = rows.count() if total is None else total
+    if total <= least:
+        return rows.join(table, F.col(key) == F.col(on), how)
+    limit = max(least, -(-total // most))
     if sizes is None:
         sizes = rows.groupBy(F.col(key).alias("split_key")).agg(F.count(F.lit(1)).alias("split_n"))
     hot = F.broadcast(sizes.where(F.col("split_n") > limit).select("split_key", F.ceil(F.col("split_n") / limit).alias("split_parts")))
