@@ -1,4 +1,4 @@
-"""A bigram language model by deleted interpolation, counted and applied over the whole corpus."""
+"""A language model of words, pairs and triples by deleted interpolation, counted and applied over the whole corpus."""
 
 from __future__ import annotations
 
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._spark import bounded_batches, materialize, sized_shards
-from ._words import K3, SPACED, U, give_back, mix, pack, pieces, unpack, word_hashes
+from ._words import K1, K3, SPACED, U, give_back, mix, pack, pieces, unpack, word_hashes
 from .substring import _deal
 
 #: Text that makes a batch. A batch's distinct words and word pairs are sent out once and their counts come back.
@@ -18,8 +18,8 @@ GATHER = 8 << 20
 #: Text for each key range: packed, its words and pairs take about 1.5 times as much.
 RANGE = 8 << 20
 START, END = (mix(np.array([x], U))[0] for x in (0x5354415254, 0x454E44))
-BUCKETS, STEPS, LOWEST = 48, 4, -200
-UNIGRAM, BIGRAM = 0, 1
+BUCKETS, STEPS, LOWEST = 64, 4, -200
+UNIGRAM, BIGRAM, TRIGRAM = 0, 1, 2
 
 
 class Batch:
@@ -45,6 +45,16 @@ class Batch:
         before[self.first[:-1]] = START
         return mix(mix(before * K3) + h)
 
+    def runs(self, order: int) -> list[np.ndarray]:
+        """The keys of all tokens' pairs with the one before and, for ``order`` 3, of their triples."""
+        pairs = self.pairs()
+        if order == 2:
+            return [pairs]
+        before = np.empty_like(pairs)
+        before[1:] = pairs[:-1]
+        before[self.first[:-1]] = START
+        return [pairs, mix(mix(before * K1) + self.vocabulary[self.ids])]
+
     def weight(self) -> np.ndarray:
         """For each token whether it is learnt from."""
         return np.repeat((~self.held).astype(np.int64), np.diff(self.first))
@@ -84,7 +94,7 @@ def _batches(docs: DataFrame, held: Column, dev: Column) -> DataFrame:
     return rows.mapInArrow(run, "batch long, dev boolean, docs binary, vocabulary binary, ids binary")
 
 
-def _counted(batches: DataFrame, n: int) -> DataFrame:
+def _counted(batches: DataFrame, n: int, order: int) -> DataFrame:
     """(batch, kind, shard, blob, tokens, words): for each batch the corpus counts of its keys, in their order.
 
     The counts are of all documents learnt from, and of these less the ones that weigh the parts.
@@ -96,12 +106,14 @@ def _counted(batches: DataFrame, n: int) -> DataFrame:
                 x = Batch([r["docs"], r["vocabulary"], r["ids"]])
                 w = x.weight()
                 words = np.bincount(x.ids, w, len(x.vocabulary)).astype(np.uint32)
-                pairs, at = np.unique(x.pairs(), return_inverse=True)
-                found = [(UNIGRAM, mix(x.vocabulary), words), (BIGRAM, pairs, np.bincount(at, w, len(pairs)).astype(np.uint32))]
+                found = [(UNIGRAM, mix(x.vocabulary), words)]
+                for kind, runs in enumerate(x.runs(order), BIGRAM):
+                    keys, at = np.unique(runs, return_inverse=True)
+                    found.append((kind, keys, np.bincount(at, w, len(keys)).astype(np.uint32)))
                 out = []
                 for kind, keys, count in found:
-                    order = np.argsort(keys)
-                    keys, count = keys[order], count[order]
+                    by = np.argsort(keys)
+                    keys, count = keys[by], count[by]
                     out += [(s, kind, r["batch"], r["dev"], pack(keys[p], count[p])) for s, p in _deal(keys, n)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.binary()), strict=True)], names=["shard", "kind", "batch", "dev", "blob"])
                 give_back()
@@ -133,24 +145,32 @@ def _counted(batches: DataFrame, n: int) -> DataFrame:
     return dealt.groupBy("kind", "shard").applyInArrow(count, "batch long, kind int, shard int, blob binary, tokens long, rest long, words long")
 
 
-def _own_counts(left: pa.Table, right: pa.Table, less: bool):
-    """A batch with c(w) for each word number, and c(v w), c(v), c(w) for each token v w."""
+def _own_counts(left: pa.Table, right: pa.Table, less: bool, order: int):
+    """A batch, and for each token how often it, its pair with the one before and its triple were seen."""
     r = left.to_pylist()[0]
     x = Batch([r["docs"], r["vocabulary"], r["ids"]])
-    both = []
+    found = []
     rows = sorted(right.select(["kind", "shard", "blob"]).to_pylist(), key=lambda q: (q["kind"], q["shard"]))
-    for kind in (UNIGRAM, BIGRAM):
+    for kind in range(order):
         parts = [unpack(q["blob"], U, U, rising=False)[1] if less else unpack(q["blob"], U, rising=False)[0] for q in rows if q["kind"] == kind]
-        both.append(np.concatenate(parts).astype(np.float64) if parts else np.zeros(0))
+        found.append(np.concatenate(parts).astype(np.float64) if parts else np.zeros(0))
     words = np.empty(len(x.vocabulary))
-    words[np.argsort(mix(x.vocabulary))] = both[0]
-    _, at = np.unique(x.pairs(), return_inverse=True)
-    one = words[x.ids]
-    return x, words, both[1][at], one
+    words[np.argsort(mix(x.vocabulary))] = found[0]
+    return x, [words[x.ids], *(c[np.unique(k, return_inverse=True)[1]] for c, k in zip(found[1:], x.runs(order), strict=True))]
+
+
+def _chances(x: Batch, seen: list[np.ndarray], documents: float, tokens: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each token the bucket of its contexts, and its chance by the longest run, the next one and so on."""
+    before = [_before(x, c, documents) for c in seen[:-1]]
+    bucket = _bucket(before[0])
+    for k, c in enumerate(before[1:], 1):
+        bucket = np.where(c > 0, BUCKETS * k + _bucket(c), bucket)
+    chance = [seen[0] / max(tokens, 1), *(c / np.maximum(b, 1) for c, b in zip(seen[1:], before, strict=True))]
+    return bucket, chance[::-1]
 
 
 def _before(x: Batch, one: np.ndarray, documents: float) -> np.ndarray:
-    """How often each token's context was seen: the word before, or the start of a document."""
+    """How often each token's context was seen: what ends with the word before, or the start of a document."""
     out = np.empty_like(one)
     out[1:] = one[:-1]
     out[x.first[:-1]] = documents
@@ -158,34 +178,42 @@ def _before(x: Batch, one: np.ndarray, documents: float) -> np.ndarray:
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
-    return np.minimum(np.floor(np.log2(context + 1)), BUCKETS - 1).astype(np.int64)
+    return np.minimum(np.floor(2 * np.log2(context + 1)), BUCKETS - 1).astype(np.int64)
 
 
 def expectation_maximisation(cells: np.ndarray, floor: float, rounds: int = 60) -> np.ndarray:
-    """Weights (bigram, unigram, uniform) of each bucket of contexts from rows (bucket, log p2, log p1, times)."""
-    out = np.tile([0.4, 0.5, 0.1], (BUCKETS, 1))
-    out[0] = [0.0, 0.9, 0.1]
-    for k in range(BUCKETS):
+    """Weights (longest run, ..., unigram, uniform) of each bucket of contexts from rows (bucket, log p of each but the uniform, times).
+
+    The first ``BUCKETS`` are of contexts of one word, the next of two: those of one word give no weight to
+    longer runs, and those that never occurred none to pairs.
+    """
+    order = cells.shape[1] - 2
+    out = np.zeros((BUCKETS * (order - 1), order + 1))
+    for k in range(len(out)):
+        length = min(1 + k // BUCKETS, order - 1) + (k % BUCKETS > 0)  # the longest run there
+        may = np.arange(order + 1) >= order - length
+        out[k, -2:], out[k, order - length : -2] = (0.5, 0.1) if length > 1 else (0.9, 0.1), 0.4 / max(1, length - 1)
         own = cells[cells[:, 0] == k]
         if not len(own):
             continue
-        p = np.stack([np.where(q <= LOWEST, 0.0, 2.0 ** (q / STEPS)) for q in (own[:, 1], own[:, 2])] + [np.full(len(own), floor)], 1)
-        n = own[:, 3][:, None]
+        p = np.stack([*(np.where(q <= LOWEST, 0.0, 2.0 ** (q / STEPS)) for q in own[:, 1:-1].T), np.full(len(own), floor)], 1)
+        n = own[:, -1][:, None]
         for _ in range(rounds):
             share = out[k] * p
             share /= share.sum(1, keepdims=True)
-            out[k] = ((share * n).sum(0) + 1e-3 * np.array([k > 0, 1, 1])) / (n.sum() + 1e-3 * (2 + (k > 0)))
+            out[k] = ((share * n).sum(0) + 1e-3 * may) / (n.sum() + 1e-3 * may.sum())
     return out
 
 
-def score(docs: DataFrame, held: Column, dev: Column) -> DataFrame:
+def score(docs: DataFrame, held: Column, dev: Column, order: int = 2) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs``.
 
     ``held`` marks rows that nothing is learnt from, ``dev`` those of the rest on which the parts' weights
     are learnt. Tokens are the words of the lower-cased (A-Z) text and one end. base_score is the add-one
     unigram log10 probability. score is log10 of the product of l2 c(v w)/c(v) + l1 c(w)/N + l0/(V+1), with
     weights by the size of c(v), learnt by expectation-maximisation on the ``dev`` rows against counts
-    without them (probabilities rounded to quarter powers of two); then all learnt rows are counted.
+    without them (probabilities rounded to quarter powers of two); then all learnt rows are counted. With an
+    ``order`` of 3 there is l3 c(u v w)/c(u v) besides, and where u v was seen its count chooses the weights.
 
     No count is broadcast: each batch of about 8 MB of text sends the distinct words and pairs it holds,
     by key, meets the sums of all batches there, and gets its own back. Keys are 64-bit hashes. The number of
@@ -198,33 +226,38 @@ def score(docs: DataFrame, held: Column, dev: Column) -> DataFrame:
     bounded_batches(spark)
     n = sized_shards(docs, "text", RANGE)
     batches = materialize(_batches(docs, held, dev))
-    counted = materialize(_counted(batches, n))
+    counted = materialize(_counted(batches, n, order))
     r = counted.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("tokens", "rest", "words")]).first()
     tokens, rest, words = r["tokens"], r["rest"], r["words"]
     tally = docs.agg(F.count_if(~held).alias("a"), F.count_if(~held & ~dev).alias("b")).first()
     counts = counted.select("batch", "kind", "shard", "blob")
 
     def cells(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        x, _, two, one = _own_counts(left, right, True)
-        context = _before(x, one, float(tally["b"]))
-        logs = [np.where(p > 0, np.maximum(LOWEST + 1, np.round(STEPS * np.log2(np.maximum(p, 1e-300)))), LOWEST).astype(np.int64) for p in (two / np.maximum(context, 1), one / max(rest, 1))]
-        code, times = np.unique((_bucket(context) << 24) | ((logs[0] - LOWEST) << 12) | (logs[1] - LOWEST), return_counts=True)
+        x, seen = _own_counts(left, right, True, order)
+        code, chances = _chances(x, seen, float(tally["b"]), rest)
+        for p in chances:
+            log = np.where(p > 0, np.maximum(LOWEST + 1, np.round(STEPS * np.log2(np.maximum(p, 1e-300)))), LOWEST).astype(np.int64)
+            code = (code << 8) | (log - LOWEST)
+        code, times = np.unique(code, return_counts=True)
         give_back()
         return pa.table({"code": code, "n": times.astype(np.int64)})
 
     some = batches.where("dev")
     own = counts.join(some.select(F.col("batch").alias("k")), F.col("batch") == F.col("k"), "left_semi")
     found = some.groupBy("batch").cogroup(own.groupBy("batch")).applyInArrow(cells, "code long, n long")
-    table = np.array([(c["code"] >> 24, (c["code"] >> 12 & 4095) + LOWEST, (c["code"] & 4095) + LOWEST, c["n"]) for c in found.groupBy("code").agg(F.sum("n").alias("n")).collect()], np.float64).reshape(-1, 4)
+    rows = found.groupBy("code").agg(F.sum("n").alias("n")).collect()  # buckets and rounded chances: their number doesn't grow with the rows
+    code, times = np.array([(c["code"], c["n"]) for c in rows], np.int64).reshape(-1, 2).T
+    table = np.stack([code >> 8 * order, *((code >> 8 * k & 255) + LOWEST for k in range(order - 1, -1, -1)), times], 1).astype(np.float64)
     mixture = expectation_maximisation(table, 1 / (words + 1))
 
     def apply(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if left["dev"][0].as_py():
             right = right.set_column(right.schema.get_field_index("blob"), "blob", pa.array([_first(b) for b in right["blob"].to_pylist()], pa.binary()))
-        x, _, two, one = _own_counts(left, right, False)
-        context = _before(x, one, float(tally["a"]))
-        w = mixture[_bucket(context)]
-        p = w[:, 0] * two / np.maximum(context, 1) + w[:, 1] * one / max(tokens, 1) + w[:, 2] / (words + 1)
+        x, seen = _own_counts(left, right, False, order)
+        bucket, chances = _chances(x, seen, float(tally["a"]), tokens)
+        p, one = mixture[bucket, order] / (words + 1), seen[0]
+        for k, chance in enumerate(chances):
+            p += mixture[bucket, k] * chance
         total = lambda v: np.add.reduceat(v, x.first[:-1])
         size = np.diff(x.first)
         give_back()

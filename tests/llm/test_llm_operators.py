@@ -392,6 +392,49 @@ def test_language_model_against_plain_counts(spark):
     assert np.allclose(mixture.sum(1), 1)
 
 
+def test_language_model_of_triples_against_plain_counts(spark):
+    """All four parts by hand, weights by the context of two words where it was seen."""
+    rng = random.Random(9)
+    docs = [(i, " ".join(rng.choice("abc") + rng.choice("xy") for _ in range(rng.randrange(1, 25)))) for i in range(70)]
+    docs += [(i, docs[i - 70][1]) for i in range(70, 100)]
+    held, dev = F.col("doc_id") % 7 == 2, F.col("doc_id") % 7 == 3
+    got = {r["doc_id"]: r["score"] for r in lm.score(framed(spark, docs), held, dev, 3).collect()}
+    toks = {d: [0, 0, *t.split(), None] for d, t in docs}
+
+    def counted(keep):
+        runs, contexts = [Counter() for _ in range(3)], [Counter() for _ in range(3)]
+        for d, w in toks.items():
+            for i in range(2, len(w) * keep(d)):
+                for k in range(3):
+                    runs[k][tuple(w[i - k : i + 1])] += 1
+                    contexts[k][tuple(w[i - k : i])] += 1
+        return runs, contexts
+
+    def parts(c, d):
+        runs, contexts = c
+        w = toks[d]
+        for i in range(2, len(w)):
+            before = [contexts[k][tuple(w[i - k : i])] for k in range(3)]
+            chance = [runs[k][tuple(w[i - k : i + 1])] / max(1, before[k]) for k in range(3)]
+            bucket = lm._bucket(np.array([float(x) for x in before]))
+            yield int(lm.BUCKETS + bucket[2] if before[2] else bucket[1]), chance[::-1]
+
+    less, every = counted(lambda d: d % 7 not in (2, 3)), counted(lambda d: d % 7 != 2)
+    kinds, cells = len(every[0][0]), Counter()
+    for d in toks:
+        if d % 7 == 3:
+            for bucket, chance in parts(less, d):
+                cells[bucket, *(max(lm.LOWEST + 1, round(lm.STEPS * math.log2(p))) if p > 0 else lm.LOWEST for p in chance)] += 1
+    mixture = lm.expectation_maximisation(np.array([(*k, n) for k, n in cells.items()], float), 1 / (kinds + 1))
+    assert mixture.shape == (2 * lm.BUCKETS, 4) and np.allclose(mixture.sum(1), 1) and (mixture[: lm.BUCKETS, 0] == 0).all()
+    for d in toks:
+        want = sum(math.log10(mixture[bucket] @ [*chance, 1 / (kinds + 1)]) for bucket, chance in parts(every, d))
+        assert math.isclose(got[d], want, rel_tol=1e-9, abs_tol=1e-9)
+    # A part that is the best everywhere gets all the weight.
+    sure = lm.expectation_maximisation(np.array([(lm.BUCKETS + 3, 0, -8, -40, 1000.0)]), 1e-6)
+    assert sure[lm.BUCKETS + 3, 0] > 0.99
+
+
 # 7: personal data
 
 
