@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.llm import ann, decontam, langid, lm, mixing, neardup, pii, quality, substring, tokens
+from quarry.llm._spark import join_split
 
 WORDS = [f"w{i}" for i in range(60)] + ["Der", "die", "Über", "naïve", "日本", "x.y", "a-b", "IT'S"]
 EXTRA = "doc_id long, text string, lang string, source string, n_chars long, key int, fp string, n string, state int, row int, rep int, own_0 string, own_1 string, t string, kept boolean, mix_slot int"
@@ -61,6 +62,19 @@ def docs():
 EMPTY: list = []
 
 
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_hot_keys_are_joined_in_parts(spark, how):
+    sizes = {"hot": 700, "warm": 90, "cold": 3, "alone": 2}
+    left = spark.createDataFrame([(k, i) for k, n in sizes.items() for i in range(n)] + [(None, 1)], "k string, i int")
+    right = spark.createDataFrame([("hot", 1), ("hot", 2), ("warm", 3), ("cold", 4), ("none", 5)], "o string, v int")
+    plainly = left.join(right, F.col("k") == F.col("o"), how)
+    for least in (10, 100, 10_000):
+        found = join_split(left, "k", right, "o", how=how, least=least, most=10_000)
+        assert rows(found, "k", "i", "v") == rows(plainly, "k", "i", "v")
+    given = left.groupBy(F.col("k").alias("split_key")).agg(F.count(F.lit(1)).alias("split_n"))
+    assert rows(join_split(left, "k", right, "o", 796, given, how, 10, 10_000), "k", "i", "v") == rows(plainly, "k", "i", "v")
+
+
 # 1: token counts
 
 
