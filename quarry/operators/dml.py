@@ -145,6 +145,11 @@ def _joined(target, source, on, matched, new, alone, definition, first_match) ->
         return action, result
 
     kind = t.schema["target"].dataType
+    if not matched and not alone:  # the target stays as it is, and what it lacks comes besides
+        action, row_ = applied(new, False)
+        out = s.join(t, on, "left_anti").select(action.alias("_action"), F.lit(None).cast(kind).alias("deleted"), row_.alias("inserted")).where(F.col("_action").isNotNull())
+        fresh = out.select(*[F.col("inserted").getField(c).alias(c) for c in names])
+        return Change(target.unionByName(fresh), fresh, target.limit(0), out)
     # One join, of both sides in full if new rows are wanted. That no target row is met twice is seen before, over
     # the rows that match only: the whole target isn't shuffled again for it.
     if matched and not first_match:

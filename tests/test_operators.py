@@ -321,3 +321,11 @@ def test_numbers_are_consecutive_after_a_shuffle(spark, target):
     got = dml.insert(target, new.withColumn("v", F.lit(0.0)), identity="id").inserted
     start = target.agg(F.max("id")).first()[0]
     assert sorted(r["id"] for r in got.collect()) == list(range(start + 1, start + 501))
+
+
+def test_merge_that_only_inserts(spark, target):
+    source = spark.createDataFrame([(1, 5), (1, 6), (8, 7), (8, 9), (9, -1)], "id int, w int")
+    m = dml.merge(target, source, c("target.id") == c("source.id")).when_not_matched_insert({"id": c("source.id"), "v": c("source.w")}, c("source.w") > 0).run()
+    assert rows(m.inserted) == [(8, 7, None), (8, 9, None)] and rows(m.table) == sorted([*rows(target), *rows(m.inserted)], key=repr)
+    assert m.deleted.count() == 0 and {r["_action"] for r in m.output.collect()} == {"INSERT"}
+    assert not any(x in m.table._jdf.queryExecution().executedPlan().toString() for x in ("Window", "Generate"))
