@@ -314,12 +314,16 @@ def train(texts: list[str], rounds: int = 60, rate: float = 0.5, most_arcs: int
 def fit(docs: DataFrame, texts: int = 300, longest: int = 20_000) -> PiiModel:
     """Train on about ``texts`` texts with a digit or @, none over ``longest`` characters, picked by a hash of doc_id.
 
-    They are counted first, so that only about so many texts (twice as many at most, in the order of the
-    hash) ever leave the executors. Without such texts, as in an empty table, the seed islands train the model.
+    How many there are is told by 64 times as many rows, or by all where these hold too few, so that only
+    about ``texts`` (twice as many at most, in the order of the hash) ever leave the executors. Without such
+    texts, as in an empty table, the seed islands train the model.
     """
-    some = docs.where(F.char_length("text").between(1, longest) & F.col("text").rlike("[0-9]{5}|@|[0-9][.][0-9]")).select("doc_id", "text")
-    rows = some.where(sampled("doc_id", texts, some.count())).orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(2 * texts).collect()
-    return train([r["text"] for r in rows])
+    fits = F.char_length("text").between(1, longest) & F.col("text").rlike("[0-9]{5}|@|[0-9][.][0-9]")
+    rows, own = docs.count(), docs.select("doc_id", "text")
+    seen = own.where(sampled("doc_id", 64 * texts, rows)).agg(F.count(F.lit(1)).alias("n"), F.count_if(fits).alias("hit")).first()
+    total = rows * seen["hit"] // seen["n"] if seen["hit"] >= 64 else own.where(fits).count()
+    found = own.where(sampled("doc_id", texts, total)).where(fits)
+    return train([r["text"] for r in found.orderBy(F.xxhash64("doc_id"), F.xxhash64("text")).limit(2 * texts).collect()])
 
 
 def find(text: str, model: PiiModel) -> tuple[list[Span], list[Span]]:
