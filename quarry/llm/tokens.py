@@ -15,7 +15,7 @@ from ._words import LOWER, SPACED, U, flat, give_back, hashes, pack, pieces, unp
 from .substring import _deal
 
 #: Text whose pre-tokens are dealt out together, and packed bytes that a task joins and sums at once.
-GATHER, TASK = 8 << 20, 12 << 20
+GATHER, TASK = 8 << 20, 4 << 20
 #: Key ranges at most; beyond, ranges are split by batch, and a pre-token is cut once for each split.
 MOST_SHARDS = 4096
 _SPACE, _LETTER, _DIGIT, _OTHER, _WHOLE = range(5)
