@@ -33,8 +33,9 @@ def run_to_end(result: DataFrame, keys: list[str]) -> DataFrame:
 
     q = result.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
     q.awaitTermination()
-    batches = spark.createDataFrame([], schema).write.mode("overwrite")
-    batches.parquet(f"{path}/rows/batch=-1")  # so that there is something to read
+    rows = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/rows")
+    if not rows.getFileSystem(spark._jsc.hadoopConfiguration()).exists(rows):
+        return spark.createDataFrame([], schema)
     found = spark.read.schema(StructType([*schema, StructField("batch", LongType())])).parquet(f"{path}/rows")
     rest = [c for c in result.columns if c not in keys]
     last = found.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("last"))
