@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from itertools import product
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators.pairs import pairs_within
 from quarry.plans import catalog
+from quarry.sources import sinks
 
 
 def test_pairs_of_blocks_are_all_pairs(spark):
@@ -25,3 +27,44 @@ def test_pairs_of_one_group_are_made_in_several_tasks(spark, tmp_path):
     found = catalog.QUERIES["self_join"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
     assert sum(r["count"] for r in found) == n * (n - 1) // 2
     assert len(found) > 1
+
+
+@pytest.mark.parametrize("offset", [0, 1, 3, 4, 7, 13, 14, 50])
+def test_rows_after_an_offset(spark, offset):
+    rows = [(k, v) for k in (5, 1, None, 3) for v in ("b", None, "a")] + [(1, "b"), (1, "b")]
+    whole = sorted(rows, key=lambda r: tuple((x is None, x or "") for x in r))
+    df = spark.createDataFrame(rows, "k bigint, v string").repartition(3)
+    got = [tuple(r) for r in sinks.after_frame(df, ["k"], offset).collect()]
+    assert [k for k, _ in got] == [k for k, _ in whole[offset:]]
+    assert sorted(got, key=repr) == sorted(whole[offset:], key=repr)
+    assert [r["k"] for r in sinks.after_frame(df.select("k"), ["k"], offset).collect()] == [k for k, _ in whole[offset:]]
+    assert sinks.after_frame(df.where("k > 99"), ["k"], offset).collect() == []
+
+
+def test_equal_rows_after_an_offset(spark):
+    assert sinks.after_frame(spark.range(250_000).select(F.lit(1).alias("k")), ["k"], 20).count() == 249_980
+
+
+def test_an_offset_is_not_taken_in_one_task(spark, tmp_path):
+    spark.range(20_000).select((F.col("id") * 7 % 20_000).alias("o_orderkey")).write.parquet(f"{tmp_path}/orders.parquet")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = catalog.QUERIES["offset_only"](spark, str(tmp_path)).select("o_orderkey", F.spark_partition_id().alias("p")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert [r["o_orderkey"] for r in found] == list(range(20, 20_000))
+    assert len({r["p"] for r in found}) > 1
+
+
+def test_nulls_are_behind_an_offset(spark, tmp_path):
+    spark.createDataFrame([(k,) for k in [None] * 3 + list(range(22))], "o_orderkey bigint").write.parquet(f"{tmp_path}/orders.parquet")
+    assert [r[0] for r in catalog.QUERIES["offset_only"](spark, str(tmp_path)).collect()] == [20, 21, None, None, None]
+
+
+def test_tasks_follow_the_size_of_the_files(spark, tmp_path):
+    from quarry.session import tasks_for
+
+    spark.range(1000).write.parquet(f"{tmp_path}/t.parquet")
+    df = spark.read.parquet(f"{tmp_path}/t.parquet")
+    size = tasks_for(df, each=1)
+    assert size > 1000 and tasks_for(df.where("id > 3"), df, each=1) == 2 * size and tasks_for(df) == 1
