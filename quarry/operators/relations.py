@@ -10,6 +10,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from quarry.operators.tables import ColumnDef, TableDef
+from quarry.session import tasks_for, too_few
 
 
 class Ambiguity(enum.Enum):
@@ -90,18 +91,28 @@ class RelationGraph:
             raise ValueError(f"{len(found)} ways lead from {start} to {end}: {found}")
         return found[policy(found)]
 
+    def _pairs(self, left: str, right: str) -> list[tuple[str, str]]:
+        return self.up[left][right] if right in self.up[left] else [(y, x) for x, y in self.up[right][left]]
+
     def _on(self, a: DataFrame, b: DataFrame, left: str, right: str):
-        if right in self.up[left]:
-            pairs = self.up[left][right]
-        else:
-            pairs = [(y, x) for x, y in self.up[right][left]]
-        return reduce(lambda p, q: p & q, [a[x] == b[y] for x, y in pairs])
+        return reduce(lambda p, q: p & q, [a[x] == b[y] for x, y in self._pairs(left, right)])
+
+    def _dealt(self, out: DataFrame, a: DataFrame, b: DataFrame, left: str, right: str) -> tuple[DataFrame, DataFrame]:
+        """Both sides in a task for each 16 MB of files, where the session would make larger ones.
+
+        Else the engine deals them out, and may split hot keys. Sides that can be broadcast are left alone.
+        """
+        parts = tasks_for(out, b)
+        if not too_few(out.sparkSession, parts) or min(tasks_for(out, each=10 << 20), tasks_for(b, each=10 << 20)) <= 1:
+            return out, b
+        keys = self._pairs(left, right)
+        return out.repartition(parts, *[a[x] for x, _ in keys]), b.repartition(parts, *[b[y] for _, y in keys])
 
     def join(self, wanted: list[str], frame: Callable[[str], DataFrame], via: Iterable[str] = (), how: str = "inner", policy=Ambiguity.FIRST) -> DataFrame:
         """The tables joined along foreign keys, each next one to the nearest that is already in.
 
         ``via`` names tables that the way to the second one has to pass, in order. The plan is a tree of
-        equi-joins; the optimizer orders and executes it.
+        equi-joins; the optimizer orders and executes it, in tasks whose size doesn't follow the tables'.
         """
         frames = {wanted[0]: frame(wanted[0])}
         out = frames[wanted[0]]
@@ -111,7 +122,8 @@ class RelationGraph:
             for a, b in zip(way, way[1:], strict=False):
                 if b not in frames:
                     frames[b] = frame(b)
-                    out = out.join(frames[b], self._on(frames[a], frames[b], a, b), how)
+                    some, other = self._dealt(out, frames[a], frames[b], a, b)
+                    out = some.join(other, self._on(frames[a], frames[b], a, b), how)
 
         stops = [wanted[0], *via, *wanted[1:2]]
         for a, b in zip(stops, stops[1:], strict=False):

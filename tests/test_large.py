@@ -68,3 +68,18 @@ def test_tasks_follow_the_size_of_the_files(spark, tmp_path):
     df = spark.read.parquet(f"{tmp_path}/t.parquet")
     size = tasks_for(df, each=1)
     assert size > 1000 and tasks_for(df.where("id > 3"), df, each=1) == 2 * size and tasks_for(df) == 1
+
+
+def test_joins_along_keys_follow_the_size_of_the_files(spark, monkeypatch, capsys):
+    from quarry import session
+    from quarry.operators import relations
+
+    folder = "/root/testdata/sf0.001"
+    want = sorted(tuple(r) for r in catalog.QUERIES["fk_multi_join"](spark, folder).collect())
+    for module in (session, relations):
+        monkeypatch.setattr(module, "tasks_for", lambda *frames, each=0: 12)
+    found = catalog.QUERIES["fk_multi_join"](spark, folder)
+    assert sorted(tuple(r) for r in found.collect()) == want
+    found.explain("formatted")
+    assert capsys.readouterr().out.count(", 12), REPARTITION_BY_NUM") >= 6
+    assert not session.too_few(spark, 8) and session.too_few(spark, 9)
